@@ -7,11 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, tokens
+from . import langid, mixing, oracles, quality, tokens
 from .common import source_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_pareto_mix": oracles.OP1}
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -25,6 +25,16 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(source_rows(spark, sf_dir, "documents"))
 
 
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(source_rows(spark, sf_dir, "documents"), source_rows(spark, sf_dir, "labels"))
+
+
+@query
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(source_rows(spark, sf_dir, "documents"))
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(source_rows(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))

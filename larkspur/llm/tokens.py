@@ -3,7 +3,9 @@
 A text is taken apart at boundaries that its pre-tokenizer never crosses (before
 a single ASCII space or line feed between characters that are not white space),
 the distinct parts of a batch are encoded together by the library, and the
-results are kept for later texts in a bounded cache of the worker. A text that
+results are kept for later texts in a bounded cache of the worker. Parts of plain
+Latin characters are merged by ``tiktoken`` with the file's own vocabulary, which
+gives the same ids faster; a test compares both libraries. A text that
 has other white space, or white space beside white space, is encoded as a whole,
 in pieces at boundaries of the first kind only.
 
@@ -24,12 +26,15 @@ from pyspark.sql import DataFrame
 from .common import arrow_rows
 
 #: Parts that a worker remembers at most.
-CACHE_PARTS = 500_000
+CACHE_PARTS = 1_000_000
 #: Bytes of text in one call of the library, about.
 CALL_BYTES = 1 << 20
 #: Characters beyond which a text is taken in pieces.
 PIECE_CHARS = 1 << 16
 _PLAIN_BREAK = re.compile(r"[^\S \n]|[ \n][ \n]")
+_LATIN = re.compile(r"[!-;=-~\u00a1-\u00ac\u00ae-\u017f]+")
+# Fixed value: the word pattern of byte-level BPE files.
+_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SAFE = re.compile(r"(?<=[^\s])(?= [^\s])")
 
 
@@ -61,6 +66,27 @@ def byte_batches(texts: Iterable[str], size: int = CALL_BYTES) -> Iterator[list[
         yield batch
 
 
+def _ranked(head: dict) -> object | None:
+    """The same vocabulary as ranks for ``tiktoken``, whose merging is some
+    three times as fast, or None unless its ids follow the order of merges.
+    It only gets parts of ``_LATIN``, on which both libraries' word patterns
+    agree; all other parts, and special strings, go to the file's library."""
+    import tiktoken
+
+    model = head["model"]
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model.get("merges", [])]
+    vocab = model.get("vocab", {})
+    if model.get("type", "BPE") != "BPE" or model.get("ignore_merges") or model.get("dropout") or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+        return None
+    # a byte is shown as itself where printable, else as the next free character from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in shown]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(other)}
+    special = {a["content"] for a in head.get("added_tokens") or []}
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in special}
+    return tiktoken.Encoding("ranked", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -70,7 +96,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, cache_parts: int = CACHE_PARTS):
-        self.cache_parts, self.parts = cache_parts, False
+        self.cache_parts, self.parts, self.ranked = cache_parts, False, None
         if path.endswith(".model"):
             import sentencepiece
 
@@ -93,8 +119,10 @@ class Encoder:
             pre = head.get("pre_tokenizer") or {}
             added = head.get("added_tokens") or []
             self.parts = head.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or re.search(r"\s", a["content"]) for a in added)
-        self.inner: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+            if self.parts:
+                self.ranked = _ranked(head)
+                self.feed = self.encode(["\n"])[0][0]
+        self.kept: dict[str, bytes] = {}
 
     def _ids(self, texts: Sequence[str]) -> list[bytes]:
         out = []
@@ -102,17 +130,29 @@ class Encoder:
             out += [np.asarray(ids, "<u4").tobytes() for ids in self.encode(batch)]
         return out
 
-    def _learn(self, kept: dict[str, bytes], parts: set[str], before: str) -> None:
-        if len(kept) + len(parts) > self.cache_parts:
-            kept.clear()
-        new = sorted(parts)
-        kept.update(zip(new, self._ids([before + p for p in new])))
+    def _learn(self, parts: Iterable[str]) -> None:
+        new = list(dict.fromkeys(parts))
+        if self.ranked is not None:
+            latin, rest = [], []
+            for p in new:
+                (latin if _LATIN.fullmatch(p) else rest).append(p)
+            for at in range(0, len(latin), 2_000):
+                some = latin[at : at + 2_000]
+                ids = np.asarray(self.ranked.encode_ordinary(" " + "\n ".join(some)), "<u4")
+                cuts = [0, *(4 * (np.flatnonzero(ids == self.feed) + 1)).tolist(), 4 * len(ids) + 4]
+                raw = ids.tobytes()
+                self.kept.update(zip(some, [raw[s : e - 4] for s, e in zip(cuts, cuts[1:])]))
+            new = rest
+        self.kept.update(zip(new, self._ids([p if p[:1] == "\n" else " " + p for p in new])))
 
     def __call__(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text; null: none."""
         out: list[bytes] = [b""] * len(texts)
-        plain: list[tuple[int, list[list[str]]]] = []
-        inner, first = set(), set()
+        plain: list[tuple[int, list[str]]] = []
+        missing: list[str] = []
+        kept = self.kept
+        if len(kept) > self.cache_parts:
+            kept.clear()
         for i, text in enumerate(texts):
             if not text:
                 continue
@@ -121,25 +161,18 @@ class Encoder:
             elif _PLAIN_BREAK.search(text):
                 out[i] = b"".join(self._ids(safe_pieces(text)))
             else:
-                lines = [line.split(" ") for line in text.split("\n")]
-                plain.append((i, lines))
-                for line in lines:
-                    first.add(line[0])
-                    inner.update(line[1:])
+                # every part but the first comes after a space or starts with a line feed
+                parts = text.replace("\n", " \n").split(" ")
+                plain.append((i, parts))
+                missing += [p for p in parts[1:] if p not in kept]
+        if missing:
+            # the parts that a batch lacks are encoded together
+            self._learn(missing)
         if plain:
-            # all the batch's parts are looked up after they were learnt together
-            missing = {p for p in inner if p not in self.inner}
-            if len(self.inner) + len(missing) > self.cache_parts:
-                missing = inner
-            self._learn(self.inner, missing, " ")
-            missing = {p for p in first if p not in self.first}
-            if len(self.first) + len(missing) > self.cache_parts:
-                missing = first
-            self._learn(self.first, missing, "")
-            feed = self._ids(["\n"])[0]
-            get, head = self.inner.__getitem__, self.first.__getitem__
-            for i, lines in plain:
-                out[i] = feed.join(head(line[0]) + b"".join(map(get, line[1:])) for line in lines)
+            get = kept.__getitem__
+            for (i, parts), first in zip(plain, self._ids([parts[0] for _, parts in plain])):
+                parts[0] = first
+                out[i] = first + b"".join(map(get, parts[1:]))
         return out
 
 

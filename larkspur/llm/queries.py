@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lm, mixing, oracles, packing, quality, tokens
+from . import langid, lm, mixing, oracles, packing, quality, sketch, tokens
 from .common import source_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,11 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(source_rows(spark, sf_dir, "documents"))
 
 
+@query
+def op4_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.edited_pairs(source_rows(spark, sf_dir, "documents"))
+
+
 @query
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(source_rows(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lm, mixing, oracles, packing, pii, quality, sketch, tokens
+from . import caps, langid, lm, mixing, oracles, packing, pii, quality, sketch, tokens
 from .common import source_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(source_rows(spark, sf_dir, "documents"))
 
 
+@query
+def op3_cap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(source_rows(spark, sf_dir, "embeddings"))
+
+
 @query
 def op4_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_pairs(source_rows(spark, sf_dir, "documents"))

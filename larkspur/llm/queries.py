@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import caps, langid, lm, mixing, oracles, packing, pii, quality, sketch, tokens
+from . import caps, jaccard, langid, lm, mixing, oracles, packing, pii, quality, sketch, tokens
 from .common import source_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,11 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(source_rows(spark, sf_dir, "documents"))
 
 
+@query
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(source_rows(spark, sf_dir, "documents"))
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(source_rows(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))

@@ -92,6 +92,7 @@ def mix(
     max_repeat: int = 2,
     importance: Column | None = None,
     seed: int = 17,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row for each row of ``df``: its id, size in words, its source's size
     and target, the ``copies`` that the mix takes and the words ``taken``.
@@ -99,19 +100,26 @@ def mix(
     ``importance`` (default 1, at least 0) makes the expected copies within a
     source unequal. The last document of a source's sample is in if that brings
     its words nearer to the target, so they miss it by half a document at most.
+    With ``carry`` the rows have these columns of ``df``, ``copies`` and ``taken``;
+    they are read from ``df`` again and not shuffled.
     """
     src = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))
-    sized = df.select(F.col(id_col).alias("_id"), src.alias("_src"), word_count(F.col(text_col)).alias("size"), (F.lit(1.0) if importance is None else importance.cast("double")).alias("_imp"))
-    sized = durable(sized)
+    held = [F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)]
+    whole = df.select(F.col(id_col).alias("_id"), src.alias("_src"), word_count(F.col(text_col)).alias("size"), (F.lit(1.0) if importance is None else importance.cast("double")).alias("_imp"), *held)
+    sized = durable(whole.select("_id", "_src", "size", "_imp"))
     targets = source_targets(sized, weights, share, max_repeat)
     weighted = sized.groupBy("_src").agg(F.sum(F.col("size") * F.col("_imp")).alias("_mass"))
     targets = durable(targets.join(weighted, "_src"))
 
     expected = F.when((F.col("size") > 0) & (F.col("_mass") > 0), F.least(F.lit(float(max_repeat)), F.col("target") * F.col("_imp") / F.col("_mass"))).otherwise(0.0)
     u = uniform(F.concat_ws(":", F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.lit(str(seed))))
-    rows = join_small(sized, targets, ["_src"]).withColumn("_e", expected).withColumn("_whole", F.floor("_e")).withColumn("_p", F.col("_e") - F.col("_whole"))
-    q = (u / (1 - u)) / (F.col("_p") / (1 - F.col("_p")))
-    rows = rows.withColumn("_q", F.when(F.col("_p") > 0, q)).withColumn("_v", F.col("_q") / (F.col("_q") + 1))
+
+    def keyed(base: DataFrame) -> DataFrame:
+        own = join_small(base, targets, ["_src"]).withColumn("_e", expected).withColumn("_whole", F.floor("_e")).withColumn("_p", F.col("_e") - F.col("_whole"))
+        q = (u / (1 - u)) / (F.col("_p") / (1 - F.col("_p")))
+        return own.withColumn("_q", F.when(F.col("_p") > 0, q)).withColumn("_v", F.col("_q") / (F.col("_q") + 1))
+
+    rows = keyed(sized)
     coarse = F.floor(F.col("_v") * SLICES)
     fine = F.floor(F.col("_v") * SLICES * SLICES) - coarse * SLICES
 
@@ -123,6 +131,8 @@ def mix(
     inside = join_small(open_rows, first, ["_src"]).where(coarse == F.col("_s1")).withColumn("_need", F.col("_need") - F.col("_b1"))
     second = durable(_cut(inside, fine).select("_src", F.col("_cut._s").alias("_s2"), F.col("_cut.before").alias("_b2")))
 
+    if carry:
+        rows = join_small(keyed(whole), need, ["_src"], "left")
     rows = join_small(join_small(rows, first, ["_src"], "left"), second, ["_src"], "left")
     group = F.when(F.col("_q").isNull(), "no").when(F.col("_s1").isNull() | (coarse < F.col("_s1")), "yes").when(coarse > F.col("_s1"), "no").when(F.col("_s2").isNull() | (fine < F.col("_s2")), "yes").when(fine > F.col("_s2"), "no").otherwise("cut")
     rows = rows.withColumn("_group", group)
@@ -131,4 +141,7 @@ def mix(
     decided = decided.withColumn("_in", F.when(F.col("_before") + F.col("size") / 2 <= F.col("_need"), 1).otherwise(0)).drop("_before")
     rest = rows.where("_group <> 'cut'").withColumn("_in", F.when(F.col("_group") == "yes", 1).otherwise(0))
     copies = (F.col("_whole") + F.col("_in")).cast("long")
-    return decided.unionByName(rest).select(F.col("_id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    both = decided.unionByName(rest)
+    if carry:
+        return both.select(*[F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)], copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return both.select(F.col("_id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))

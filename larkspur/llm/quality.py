@@ -16,7 +16,7 @@ Repeated rows give repeated rows. Only the named columns are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -102,8 +102,10 @@ def classify(
     held_fold: int = 0,
     threshold: float = 0.3,
     train_docs: int = 6_000,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Of each row: its id, ``held_out``, ``score`` and ``predicted``.
+    """Of each row: its id, ``held_out``, ``score`` and ``predicted``, and the
+    columns ``keep`` of ``df``.
 
     Labels are learned from rows whose crc32(id as text) modulo ``folds`` is
     not ``held_fold``, ``train_docs`` of them at most.
@@ -124,7 +126,9 @@ def classify(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = score([(t or "").encode() for t in batch.column(2).to_pylist()], *model.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype("int32"))], names=[id_col, "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype("int32")), *batch.columns[3:]], names=[id_col, "held_out", "score", "predicted", *more])
 
-    rows = df.select(id_col, (fold == held_fold).alias("held_out"), text_col)
-    return rows.mapInArrow(run, f"`{id_col}` {id_type}, held_out boolean, score double, predicted int")
+    more = [c for c in keep if c != id_col]
+    rows = df.select(id_col, (fold == held_fold).alias("held_out"), text_col, *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(more)])
+    types = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in more)
+    return rows.mapInArrow(run, f"`{id_col}` {id_type}, held_out boolean, score double, predicted int{types}")

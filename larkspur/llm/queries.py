@@ -11,7 +11,7 @@ from . import caps, jaccard, langid, lm, mixing, oracles, packing, pii, quality,
 from .common import source_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op1_pareto_mix": oracles.OP1}
+ORACLES: dict[str, str] = {"op1_pareto_mix": oracles.OP1, "op3_cap_dedup": oracles.OP3, "op8_jaccard": oracles.OP8}
 TOKENIZER = "byte_bpe_50k.json"
 
 

@@ -21,7 +21,8 @@ RISKS = ("Low", "Medium", "High", "Critical")
 
 @dataclass(frozen=True)
 class Pattern:
-    """A registered pattern; ``guard`` is a cheap regex that any match implies."""
+    """A registered pattern. Any match implies a match of the regex ``guard``, and
+    one of the strings ``needs`` in the text, or a digit if there are none."""
 
     name: str
     pii_type: str
@@ -30,11 +31,12 @@ class Pattern:
     risk: str
     validator: str | None = None
     guard: str | None = None
+    needs: tuple[str, ...] = ()
 
 
 # The built-in patterns, in the order of registration.
 PATTERNS: tuple[Pattern, ...] = (
-    Pattern("email", "Email", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", 0.95, "Medium", None, "@"),
+    Pattern("email", "Email", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", 0.95, "Medium", None, "@", ("@",)),
     Pattern("phone_us", "Phone", r"(?:\+1[-.\s]?)?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}", 0.85, "Medium", None, "[0-9]{4}"),
     Pattern("phone_intl", "Phone", r"\+[1-9]\d{1,14}", 0.80, "Medium", None, r"\+[1-9]"),
     Pattern("ssn", "Ssn", r"\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b", 0.90, "Critical", "validate_ssn", "[0-9]{4}"),
@@ -43,17 +45,17 @@ PATTERNS: tuple[Pattern, ...] = (
     Pattern("credit_card_amex", "CreditCard", r"\b3[47][0-9]{13}\b", 0.90, "Critical", "validate_luhn", "3[0-9]{14}"),
     Pattern("credit_card_generic", "CreditCard", r"\b(?:\d{4}[-\s]?){3}\d{4}\b", 0.75, "Critical", "validate_luhn", "[0-9]{4}"),
     Pattern("ipv4", "IpAddress", r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b", 0.95, "Low", None, r"[0-9]\.[0-9]"),
-    Pattern("ipv6", "IpAddress", r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b", 0.95, "Low", None, "[0-9a-fA-F]:[0-9a-fA-F]"),
-    Pattern("mac_address", "IpAddress", r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b", 0.95, "Low", None, "[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]"),
+    Pattern("ipv6", "IpAddress", r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b", 0.95, "Low", None, "[0-9a-fA-F]:[0-9a-fA-F]{1,4}:", (":",)),
+    Pattern("mac_address", "IpAddress", r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b", 0.95, "Low", None, "[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]", (":", "-")),
     Pattern("dob_us", "DateOfBirth", r"\b(?:0[1-9]|1[0-2])[/-](?:0[1-9]|[12][0-9]|3[01])[/-](?:19|20)\d{2}\b", 0.70, "Medium", None, "[0-9]{2}[/-]"),
     Pattern("dob_iso", "DateOfBirth", r"\b(?:19|20)\d{2}[-/](?:0[1-9]|1[0-2])[-/](?:0[1-9]|[12][0-9]|3[01])\b", 0.70, "Medium", None, "[0-9]{2}[/-]"),
     Pattern("drivers_license", "DriversLicense", r"\b[A-Z]{1,2}\d{5,8}\b", 0.50, "High", None, "[A-Z][0-9]{5}"),
     Pattern("passport_us", "PassportNumber", r"\b[A-Z]\d{8}\b", 0.60, "High", None, "[A-Z][0-9]{8}"),
     Pattern("bank_account_iban", "BankAccount", r"\b[A-Z]{2}\d{2}[A-Z0-9]{4}\d{7}(?:[A-Z0-9]?){0,16}\b", 0.85, "High", None, "[A-Z]{2}[0-9]{2}"),
     Pattern("bank_routing_us", "BankAccount", r"\b\d{9}\b", 0.40, "High", "validate_routing", "[0-9]{9}"),
-    Pattern("api_key_generic", "ApiKey", r"""\b(?:api[_-]?key|apikey|api_secret)[=:]\s*['"]?([a-zA-Z0-9_-]{20,})['"]?""", 0.80, "Critical", None, "api"),
-    Pattern("aws_key", "ApiKey", r"\b(?:AKIA|ABIA|ACCA|ASIA)[0-9A-Z]{16}\b", 0.95, "Critical", None, "A[KBCS][IC]A"),
-    Pattern("password_field", "Password", r"""(?i)(?:password|passwd|pwd)[=:]\s*['"]?([^'"\s]{4,})['"]?""", 0.85, "Critical", None, "(?i)pass|pwd"),
+    Pattern("api_key_generic", "ApiKey", r"""\b(?:api[_-]?key|apikey|api_secret)[=:]\s*['"]?([a-zA-Z0-9_-]{20,})['"]?""", 0.80, "Critical", None, "api", ("api",)),
+    Pattern("aws_key", "ApiKey", r"\b(?:AKIA|ABIA|ACCA|ASIA)[0-9A-Z]{16}\b", 0.95, "Critical", None, "A[KBCS][IC]A", ("AKIA", "ABIA", "ACCA", "ASIA")),
+    Pattern("password_field", "Password", r"""(?i)(?:password|passwd|pwd)[=:]\s*['"]?([^'"\s]{4,})['"]?""", 0.85, "Critical", None, "(?i)pass|pwd", ("=", ":")),
     Pattern("gps_coords", "Coordinates", r"\b[-+]?(?:[1-8]?\d(?:\.\d+)?|90(?:\.0+)?),\s*[-+]?(?:180(?:\.0+)?|(?:(?:1[0-7]\d)|(?:[1-9]?\d))(?:\.\d+)?)\b", 0.70, "Medium", None, "[0-9],"),
 )
 
@@ -160,11 +162,22 @@ def sweep(matches: Column) -> Column:
     )
 
 
-def guard_of(patterns: Sequence[Pattern]) -> str | None:
-    """One regex that any match of any pattern implies; None if one has no guard."""
+def may_match(text: Column, patterns: Sequence[Pattern]) -> Column:
+    """Whether some pattern can match: a search for plain strings or for a digit
+    comes first, so most texts are passed over once, without any alternation."""
     if any(p.guard is None for p in patterns):
-        return None
-    return "|".join(dict.fromkeys(f"(?:{p.guard})" for p in patterns))
+        return text.isNotNull()
+    out = F.lit(False)
+    digit = list(dict.fromkeys(f"(?:{p.guard})" for p in patterns if not p.needs))
+    if digit:
+        out = text.rlike("[0-9]") & text.rlike("|".join(digit))
+    for p in patterns:
+        if p.needs:
+            there = F.lit(False)
+            for n in p.needs:
+                there = there | F.contains(text, F.lit(n))
+            out = out | (there & text.rlike(p.guard))
+    return out
 
 
 def _pick(values: Sequence[object], idx: Column) -> Column:
@@ -209,20 +222,16 @@ EMPTY = "array<struct<start:int,end:int,pattern:string,pii_type:string,confidenc
 
 def detect(df: DataFrame, text_col: str = "text", out: str = "hits", patterns: Sequence[Pattern] = PATTERNS, **options: object) -> DataFrame:
     """``df`` with the column ``out`` of hits; texts that no pattern can match are not searched."""
-    text, guard = F.col(text_col), guard_of(patterns)
-    found = hits(text, patterns, **options)
-    none = F.array().cast(EMPTY)
-    if guard is None:
-        return df.withColumn(out, F.coalesce(found, none))
-    return df.withColumn(out, F.when(text.rlike(guard), found).otherwise(none))
+    text = F.col(text_col)
+    return df.withColumn(out, F.when(may_match(text, patterns), hits(text, patterns, **options)).otherwise(F.array().cast(EMPTY)))
 
 
 def hit_rows(df: DataFrame, keys: Sequence[str], text_col: str = "text", patterns: Sequence[Pattern] = PATTERNS, **options: object) -> DataFrame:
     """One row for each hit: ``keys`` and the hit's fields. The texts without a
-    candidate are left out by one regex at the scan."""
-    guard = guard_of(patterns)
-    some = df.select(*keys, text_col) if guard is None else df.select(*keys, text_col).where(F.col(text_col).rlike(guard))
-    return some.withColumn("_h", F.explode(hits(F.col(text_col), patterns, **options))).select(*keys, text_col, "_h.*")
+    candidate are left out at the scan."""
+    some = df.select(*keys, text_col).where(may_match(F.col(text_col), patterns))
+    # the outer form, as the other one would have the hits computed again for a filter on their number
+    return some.withColumn("_h", F.explode_outer(hits(F.col(text_col), patterns, **options))).where("_h IS NOT NULL").select(*keys, text_col, "_h.*")
 
 
 def raw_hits(text: Column, pii_type: str, patterns: Sequence[Pattern] = PATTERNS) -> Column:

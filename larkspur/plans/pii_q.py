@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import anonymize as A
 from larkspur.functions import detection as D
-from larkspur.session import table
+from larkspur.session import spread, table
 
 from . import sql
 from .catalog import query
@@ -18,7 +18,7 @@ HITS = "WITH RECURSIVE " + sql.hits_cte()
 @query(HITS + " SELECT pii_type, risk, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS docs, round(avg(confidence), 6) AS avg_confidence FROM hit GROUP BY ALL")
 def pii_detect_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DET8, AGG1: hits by type and risk."""
-    hits = D.hit_rows(table(spark, sf_dir, "documents"), ["doc_id"])
+    hits = D.hit_rows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
     return hits.groupBy("pii_type", "risk").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
 
 
@@ -30,7 +30,7 @@ def pii_detect_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pii_detect_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN1, DET4, DET10: every hit and the text around it."""
-    hits = D.hit_rows(table(spark, sf_dir, "documents"), ["doc_id"])
+    hits = D.hit_rows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
     return hits.select("doc_id", "start", "end", "pattern", "pii_type", "confidence", "risk", "value", D.context(F.col("text"), F.col("start"), F.col("end")).alias("context"))
 
 
@@ -38,7 +38,7 @@ def pii_detect_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pii_pages_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR4, DET8: hits in pages without their tags."""
     plain = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "<[^>]*>", "").alias("text"))
-    return D.hit_rows(plain, ["page_id"]).groupBy("page_id", "pii_type").agg(F.count(F.lit(1)).alias("n"))
+    return D.hit_rows(spread(plain), ["page_id"]).groupBy("page_id", "pii_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -67,7 +67,7 @@ FROM hit h LEFT JOIN near n ON n.doc_id = h.doc_id AND n.st = h.st GROUP BY h.do
 )
 def pii_context_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DET13: the boost and the suggestion of the keywords near each hit."""
-    hits = D.hit_rows(table(spark, sf_dir, "documents"), ["doc_id"])
+    hits = D.hit_rows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
     args = (F.col("text"), F.col("start"), F.col("end"), F.col("pii_type"))
     return hits.select("doc_id", "start", "pii_type", F.round(D.context_boost(*args), 6).alias("boost"), D.suggested_type(*args).alias("suggested"))
 
@@ -86,7 +86,7 @@ def pii_field_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pii_line_col(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DET26: line and column of every hit."""
     line, col = D.line_col(F.col("text"), F.col("start"))
-    return D.hit_rows(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "start", line.alias("line"), col.alias("col"))
+    return D.hit_rows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"]).select("doc_id", "start", line.alias("line"), col.alias("col"))
 
 
 @query("SELECT doc_id, regexp_matches(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}') AS has_email, regexp_matches(text, '\\b4[0-9]{12}(?:[0-9]{3})?\\b') AS has_visa FROM documents")
@@ -104,7 +104,7 @@ def pii_framework_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DET17, DET18: hits that each framework asks about, by a small dimension."""
     rows = [("gdpr", t) for t in ("Email", "Phone", "IpAddress", "Name", "Address", "DateOfBirth")] + [("pci", "CreditCard")] + [("hipaa", t) for t in ("Email", "Phone", "Ssn", "Name", "DateOfBirth")]
     dim = spark.createDataFrame(rows, "framework string, pii_type string")
-    hits = D.hit_rows(table(spark, sf_dir, "documents"), ["doc_id"]).join(F.broadcast(dim), "pii_type")
+    hits = D.hit_rows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"]).join(F.broadcast(dim), "pii_type")
     return hits.groupBy("framework").agg(F.count_distinct("doc_id").alias("docs"), F.count(F.lit(1)).alias("hits"))
 
 
@@ -116,7 +116,7 @@ def pii_keyword_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rewritten(spark: SparkSession, sf_dir: str, strategy: str | None) -> DataFrame:
-    docs = D.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = D.detect(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     rules = A.DEFAULTS if strategy is None else {}
     out = A.anonymize(F.col("text"), F.col("hits"), rules, strategy or "mask")
     return docs.select("doc_id", F.sha2(out, 256).alias("out_sha256"), F.size("hits").cast("long").alias("n"))
@@ -206,14 +206,14 @@ def anon_policy_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     that has a rule for its type."""
     rules = spark.createDataFrame(_RULES, "policy string, priority int, pii_type string, strategy string")
     best = rules.groupBy("pii_type").agg(F.max_by("policy", "priority").alias("policy"), F.max_by("strategy", "priority").alias("strategy"))
-    hits = D.hit_rows(table(spark, sf_dir, "documents"), ["doc_id"]).join(F.broadcast(best), "pii_type", "left")
+    hits = D.hit_rows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"]).join(F.broadcast(best), "pii_type", "left")
     return hits.groupBy("pii_type", F.coalesce("policy", F.lit("default")).alias("policy"), F.coalesce("strategy", F.lit("mask")).alias("strategy")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT doc_id, sha256(text) AS out_sha256 FROM documents")
 def anon_reidentify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ANO20: texts are the same after tokens were put in and taken out again."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     tokens = A.token_table(D.hit_rows(docs, ["doc_id"]))
     hidden = D.detect(docs).select("doc_id", A.anonymize(F.col("text"), F.col("hits"), {}, "tokenize").alias("text"))
     return A.reidentify(hidden, tokens, ["doc_id"]).select("doc_id", F.sha2("text", 256).alias("out_sha256"))
@@ -222,14 +222,14 @@ def anon_reidentify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(HITS + " SELECT doc_id, pii_type, st AS start_offset, en AS end_offset, (en - st)::INT AS length, confidence::DECIMAL(3,2) AS confidence, sha256(val) AS value_hash FROM hit")
 def pii_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LIF8, LIF9: rows of the entity table."""
-    hits = D.hit_rows(table(spark, sf_dir, "documents"), ["doc_id"])
+    hits = D.hit_rows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
     return hits.select("doc_id", "pii_type", F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), (F.col("end") - F.col("start")).alias("length"), F.col("confidence").cast("decimal(3,2)").alias("confidence"), F.sha2("value", 256).alias("value_hash"))
 
 
 @query(HITS + " SELECT h.doc_id, st AS start, pii_type FROM hit h WHERE NOT (pii_type = 'Email' AND regexp_matches(val, '@mail[0-4]\\.')) AND val NOT IN (SELECT min(val) FROM hit WHERE pii_type = 'IpAddress')")
 def pii_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT24: hits less those that an exact or a regex entry allows."""
-    hits = D.hit_rows(table(spark, sf_dir, "documents"), ["doc_id"])
+    hits = D.hit_rows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
     exact = hits.where("pii_type = 'IpAddress'").agg(F.min("value").alias("_v")).where("_v is not null")
     kept = hits.where(~((F.col("pii_type") == "Email") & F.col("value").rlike(r"@mail[0-4]\.")))
     return kept.join(F.broadcast(exact), F.col("value") == F.col("_v"), "left_anti").select("doc_id", "start", "pii_type")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import detection as D
 from larkspur.functions import rules as V
 from larkspur.functions import security as S
-from larkspur.session import table
+from larkspur.session import spread, table
 
 from . import sql
 from .catalog import query
@@ -33,7 +33,7 @@ def threat_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT page_id, list_filter([CASE WHEN length(html) > 10000 THEN 'length' END, CASE WHEN {_any('html', S.SQL_PATTERNS)} THEN 'sql_injection' END, CASE WHEN {_any('html', S.XSS_PATTERNS)} THEN 'xss' END, CASE WHEN {_any('html', S.TRAVERSAL_PATTERNS)} THEN 'path_traversal' END], lambda x: x IS NOT NULL) AS errors FROM pages")
 def string_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR1."""
-    return table(spark, sf_dir, "pages").select("page_id", S.violations(F.col("html")).alias("errors"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", S.violations(F.col("html")).alias("errors"))
 
 
 @query("SELECT page_id, regexp_replace(path, '/[0-9]+(/|$)', '/{id}\\1', 'g') AS path FROM (SELECT page_id, '/api/' || page_id || '/pages/x' || page_id AS path FROM pages)")
@@ -63,7 +63,7 @@ SELECT doc_id, val AS ip, cidr, note FROM num JOIN r2 ON ip BETWEEN b - b % n AN
 def ip_blocklist_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN13: addresses in documents by the networks that hold them. The list of
     networks is a literal, so the range join is a broadcast one."""
-    hits = D.hit_rows(table(spark, sf_dir, "documents"), ["doc_id"]).where("pattern = 'ipv4'").select("doc_id", F.col("value").alias("ip"), S.ip_number(F.col("value")).alias("_n"))
+    hits = D.hit_rows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"]).where("pattern = 'ipv4'").select("doc_id", F.col("value").alias("ip"), S.ip_number(F.col("value")).alias("_n"))
     nets = spark.createDataFrame(list(_NETS), "cidr string, note string")
     low, high = S.cidr_range(F.col("cidr"))
     return hits.join(F.broadcast(nets.select("cidr", "note", low.alias("_lo"), high.alias("_hi"))), F.col("_n").between(F.col("_lo"), F.col("_hi"))).select("doc_id", "ip", "cidr", "note")
@@ -75,7 +75,7 @@ _RULES = (V.Field("k", "Integer", nullable=False, minimum=10, maximum=90), V.Fie
 @query("SELECT event_id, list_filter([CASE WHEN (props->>'k')::INT < 10 THEN 'k:min_value' END, CASE WHEN (props->>'k')::INT > 90 THEN 'k:max_value' END, 'name:required'], lambda x: x IS NOT NULL) AS errors FROM events")
 def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCH1-SCH4: what a small schema says of the events' documents."""
-    return table(spark, sf_dir, "events").select("event_id", V.violations(F.col("props"), _RULES).alias("errors"))
+    return spread(table(spark, sf_dir, "events").select("event_id", "props")).select("event_id", V.violations(F.col("props"), _RULES).alias("errors"))
 
 
 @query("SELECT count(*) FILTER (k BETWEEN 10 AND 90)::BIGINT AS accepted, count(*) FILTER (k NOT BETWEEN 10 AND 90)::BIGINT AS rejected FROM (SELECT (props->>'k')::INT AS k FROM events)")

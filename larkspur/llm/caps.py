@@ -32,12 +32,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import arrow_rows, durable, join_small
 from .components import components
 
 #: Vectors of a cap that are compared in one piece at most.
-BLOCK = 2_000
+BLOCK = 1_000
 
 
 def tail(x: float) -> float:
@@ -62,6 +63,13 @@ def cap_height(filters: int, rho: float, shared: float) -> float:
     return low
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """The vectors at length 1, in double precision and safe from overflow."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 class Code:
     """The product code for vectors of one length."""
 
@@ -131,7 +139,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     arrow_rows(spark)
     v = F.col("_v")
     fine = F.coalesce(v.isNotNull() & F.col("_id").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = df.select(F.col(id_col).alias("_id"), F.col(vector_col).cast("array<double>").alias("_v")).withColumn("_ok", fine)
+    # vectors travel as they are given, in four or eight bytes a number
+    single = df.schema[vector_col].dataType.elementType == FloatType()
+    rows = df.select(F.col(id_col).alias("_id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("_v")).withColumn("_ok", fine)
     classes = durable(rows.where("_ok").groupBy("_v").agg(F.min("_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("m")))
     n = classes.count()
     k = max(64, ceil(sqrt(2 * n)))
@@ -147,10 +157,10 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             for dim in np.unique(sizes):
                 code = codes.setdefault(int(dim), Code(int(dim), k, height, seed))
                 at = np.flatnonzero(sizes == dim)
-                x = np.stack([flat[starts[i] : starts[i + 1]] for i in at])
-                x = x / np.abs(x).max(1, keepdims=True)
-                x /= np.sqrt((x * x).sum(1, keepdims=True))
-                lists = code.decode(x)
+                raw = np.stack([flat[starts[i] : starts[i + 1]] for i in at])
+                lists = code.decode(unit(raw))
+                every = np.concatenate(lists)
+                packed = [f.astype(np.int32 if k * k < 1 << 31 else np.int64).tobytes() for f in lists]
                 per = [len(f) for f in lists]
                 src = np.repeat(np.arange(len(at)), per)
                 if not len(src):
@@ -159,12 +169,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                     part = src[s : s + 20_000]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.concatenate(lists)[s : s + 20_000]),
+                            pa.array(every[s : s + 20_000]),
                             pa.array(np.full(len(part), dim, np.int32)),
                             batch.column(1).take(pa.array(at[part])),
                             batch.column(2).take(pa.array(at[part])),
-                            pa.array([x[i].tobytes() for i in part], pa.binary()),
-                            pa.array([lists[i].astype(np.int64).tobytes() for i in part], pa.binary()),
+                            pa.array([raw[i].tobytes() for i in part], pa.binary()),
+                            pa.array([packed[i] for i in part], pa.binary()),
                         ],
                         names=["f", "dim", "rep", "m", "x", "fs"],
                     )
@@ -185,8 +195,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             if len(t) < 2:
                 return None
             ids, side = t.column("rep").to_numpy(), t.column("side").to_numpy()
-            x = np.frombuffer(b"".join(t.column("x").to_pylist()), np.float64).reshape(len(ids), -1)
-            fs = [np.frombuffer(b, np.int64) for b in t.column("fs").to_pylist()]
+            x = unit(np.frombuffer(b"".join(t.column("x").to_pylist()), np.float32 if single else np.float64).reshape(len(ids), -1))
+            fs = [np.frombuffer(b, np.int32 if k * k < 1 << 31 else np.int64) for b in t.column("fs").to_pylist()]
             links, root = compare(t.column("f")[0].as_py(), ids, side, t.column("m").to_numpy(), x, fs, threshold)
             on = (links > 0) | (root != ids)
             if not on.any():

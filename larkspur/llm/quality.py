@@ -57,6 +57,7 @@ def train(texts: list[bytes], labels: np.ndarray, dim: int = 10, epochs: int = 4
     for t in texts:
         ids, n = np.unique(buckets([t])[0], return_counts=True)
         rows.append((ids, (n / max(1, n.sum())).astype(np.float32)))
+    epochs = max(epochs, min(100, -(-12_000 // max(1, len(rows)))))  # small samples need more passes
     steps, at = epochs * len(rows), 0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):

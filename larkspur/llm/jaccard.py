@@ -10,6 +10,11 @@ The join is exact. Sets are the distinct five-word shingles of whole texts.
 * Block skipping: a list is ordered by set size, and a pair is skipped where
   sizes, or the shingles left after the position in each set, cannot reach the
   needed overlap. A list in which nothing can is dropped.
+* Before a pair's sets are fetched, a parity bitmap of each (``BITS`` bits, the
+  exclusive or of the shingles' bits) bounds their overlap from above by
+  (|a| + |b| - differing bits) / 2; a pair that the bound excludes is dropped.
+* A pair whose fronts share less than a link of their sizes needs is skipped: at
+  least the needed overlap less what can stand behind the larger front.
 * Answer derivation: in each list, sets are first compared with one leading set.
   Sets that link to it share its component, so they need no comparison with one
   another; only pairs of a list that are still in different components are
@@ -21,7 +26,8 @@ of groups that follows the corpus, so a task holds a bounded share of it.
 
 Defined cases: a null or empty text, or one without words, has an empty set and
 links with nothing; a text of one to four words is one shingle, its whole
-sequence. Repeated rows are separate documents; a null id is a component of its
+sequence. Repeated rows are separate documents; rows that share an id are one
+node of the links, whatever their texts; a null id is a component of its
 own and links nothing. An empty table gives an empty result. Columns that are
 not named are ignored.
 """
@@ -34,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, durable, join_small
@@ -50,6 +56,7 @@ GROUP_POSTINGS, HELD_POSTINGS = 250_000, 1_000_000
 SEEN = 1_000_000
 TEXT_BYTES = 4 << 20
 MOST = 0xFFFF
+BITS = 1024
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
@@ -100,6 +107,12 @@ def set_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a set, as 64-bit numbers."""
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _number(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
@@ -113,19 +126,20 @@ def _survey(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         kind = None
         for batch in batches:
             kind = batch.column(0).type
-            ns, keys = [], []
+            ns, keys, bits = [], [], []
             for _, texts in by_bytes(batch.column(1).to_pylist()):
                 sets = shingle_sets(texts)
                 ns += [len(s) for s in sets]
                 keys += [set_key(s) if len(s) else None for s in sets]
+                bits += [parity(s) if len(s) else None for s in sets]
                 cells += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
             m = len(ns)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(m, pa.int32())], names=["_id", "n", "key", "part"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(m, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], names=["_id", "n", "key", "part", "bits"])
         if kind is not None and cells.any():
             rows = cells.reshape(PARTS, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, kind), pa.nulls(PARTS, pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(range(PARTS), pa.int32())], names=["_id", "n", "key", "part"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, kind), pa.nulls(PARTS, pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(range(PARTS), pa.int32()), pa.nulls(PARTS, pa.list_(pa.int64()))], names=["_id", "n", "key", "part", "bits"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"_id {id_type.simpleString()}, n long, key binary, part int")
+    return df.select(id_col, text_col).mapInArrow(run, f"_id {id_type.simpleString()}, n long, key binary, part int, bits array<long>")
 
 
 def _levels(survey: DataFrame) -> np.ndarray:
@@ -194,8 +208,9 @@ def _postings(df: DataFrame, text_col: str, levels: np.ndarray, groups: int, per
 
 
 def _lists(postings: DataFrame, percent: int) -> DataFrame:
-    """(``list``, ``number``): the distinct index lists in which some pair can
-    link, each named by the hash of its sets."""
+    """(``list``, ``number``, ``tokens``): the distinct index lists in which some
+    pair can link, each named by the hash of its sets; and, with a null list, how
+    many ``tokens`` of a set's front other sets have in theirs."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         token, number, size, place = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("token", np.uint32), ("number", np.int64), ("size", np.uint16), ("place", np.uint16)))
@@ -239,11 +254,17 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
             tag = mix64(mix64(kept.view(np.uint64)).sum(keepdims=True)).view(np.int64)
             names.append(np.repeat(tag, len(kept)))
             found.append(kept)
-        if not names:
-            return pd.DataFrame({"list": np.zeros(0, np.int64), "number": np.zeros(0, np.int64)})
-        return pd.DataFrame({"list": np.concatenate(names), "number": np.concatenate(found)}).drop_duplicates()
+        # shared tokens are counted in all lists, also where the position lets no pair through
+        many = ends - starts > 1
+        own, tokens = np.unique(np.concatenate([number[s:e] for s, e in zip(starts[many], ends[many])]), return_counts=True) if many.any() else (number[:0], starts[:0])
+        parts = [pd.DataFrame({"list": pd.array([None] * len(own), "Int64"), "number": own, "tokens": tokens})]
+        if names:
+            both = pd.DataFrame({"list": pd.array(np.concatenate(names), "Int64"), "number": np.concatenate(found)}).drop_duplicates()
+            parts.append(both.assign(tokens=0))
+        return pd.concat(parts)
 
-    return postings.groupBy("g").applyInPandas(run, "list long, number long").distinct()
+    dealt = postings.groupBy("g").applyInPandas(run, "list long, number long, tokens long")
+    return dealt.groupBy("list", "number").agg(F.sum("tokens").alias("tokens"))
 
 
 def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -257,17 +278,39 @@ def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataF
 
     id_type = df.schema[id_col].dataType.simpleString()
     texts = join_small(df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("_t")), wanted, ["rep"])
-    # rows of a repeated id can have other texts: the class's own is told by its hash later
     return texts.select("rep", "_t").mapInArrow(run, f"rep {id_type}, s array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` that link."""
+def _may_link(percent: int, na: Column, nb: Column, ma: Column, mb: Column) -> Column:
+    """Whether the sizes allow a link, and enough of each front is shared: the
+    overlap that a link needs, less what can stand behind the larger front."""
+    overlap = F.ceil(F.lit(percent) * (na + nb) / (100 + percent))
+    behind = F.ceil(F.lit(percent) * F.greatest(na, nb) / 100) - 1
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(ma, mb) >= overlap - behind)
+
+
+def _bound(percent: int) -> Column:
+    """Whether the bitmaps ``pa``, ``pb`` of sets of ``na``, ``nb`` allow a link."""
+    differ = F.lit(0)
+    for i in range(BITS // 64):
+        differ = differ + F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i]))
+    most = F.floor((F.col("na") + F.col("nb") - differ) / 2)
+    return 100 * most >= percent * (F.col("na") + F.col("nb") - most)
+
+
+def _links(df: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` that link: those that their bitmaps let
+    pass, compared as sets."""
+    one = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("pa"))
+    two = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("pb"))
+    may = durable(pairs.join(one, "a").join(two, "b").where(_bound(percent)).select("a", "b").distinct())
+    wanted = may.select(F.col("a").alias("rep")).unionByName(may.select(F.col("b").alias("rep"))).distinct()
+    sets = durable(_sets(df, wanted, id_col, text_col))
     left = sets.select(F.col("rep").alias("a"), F.col("s").alias("_sa"))
     right = sets.select(F.col("rep").alias("b"), F.col("s").alias("_sb"))
     both = F.size(F.array_intersect("_sa", "_sb"))
     total = F.size("_sa") + F.size("_sb")
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (total - both)).select("a", "b").distinct()
+    return may.join(left, "a").join(right, "b").where(100 * both >= percent * (total - both)).select("a", "b").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -276,9 +319,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     arrow_rows(spark)
     survey = durable(_survey(df, id_col, text_col))
-    rows = survey.where("part is null").select("_id", "n", "key")
+    rows = survey.where("part is null").select("_id", "n", "key", "bits")
     filled = rows.where("key is not null and _id is not null")
-    classes = durable(filled.groupBy("key").agg(F.min("_id").cast("long").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")))
+    classes = durable(filled.groupBy("key").agg(F.min("_id").cast("long").alias("rep"), F.max("n").alias("n"), F.first("bits").alias("bits")))
     total = classes.agg(F.sum("n")).first()[0] or 0
     groups = max(8, -(-int(total * (1 - percent / 100) + classes.count()) // GROUP_POSTINGS))
     postings = _postings(df, text_col, _levels(survey), groups, percent)
@@ -289,28 +332,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     number = octets[0]
     for i in range(1, 8):
         number = number.bitwiseOR(F.shiftleft(octets[i], 8 * i))
-    named = classes.select(number.alias("number"), "rep", "n")
-    members = durable(lists.join(named, "number").select("list", "rep", "n"))
-    sets = durable(_sets(df, members.select("rep").distinct(), id_col, text_col))
-
-    # each list's smallest set leads it
-    lead = members.groupBy("list").agg(F.min(F.struct("n", "rep")).alias("l"))
-    stars = members.join(lead, "list").where((F.col("rep") != F.col("l.rep")) & (100 * F.col("l.n") >= percent * F.col("n")))
-    stars = durable(stars.select(F.col("l.rep").alias("a"), F.col("rep").alias("b")).distinct())
-    links = durable(_verified(stars, sets, percent))
+    # m: the shingles of a set's front that other sets have in theirs
+    shared = lists.where("list is null").select("number", F.col("tokens").alias("m"))
+    named = durable(shared.join(classes.select(number.alias("number"), "rep", "n", "bits"), "number"))
+    members = durable(lists.where("list is not null").join(named.select("number", "rep", "n", "m"), "number").select("list", "rep", "n", "m"))
+
+    # each list is led by the set most of which is shared: of near copies, the one they were made from
+    lead = members.groupBy("list").agg(F.max(F.struct((F.col("m") / F.col("n")).alias("r"), (-F.col("rep")).alias("o"), "n", "m")).alias("l"))
+    stars = members.join(lead, "list").where((F.col("rep") != -F.col("l.o")) & _may_link(percent, F.col("n"), F.col("l.n"), F.col("m"), F.col("l.m")))
+    stars = durable(stars.select((-F.col("l.o")).alias("a"), F.col("rep").alias("b")).distinct())
+    links = durable(_links(df, stars, classes, percent, id_col, text_col))
     joined = components(links)
-    placed = members.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("list", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    placed = members.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("list", "rep", F.coalesce("component", "rep").alias("c"))
     placed = durable(placed)
     # of each list that spans components: every pair with at least one set outside its largest component
     sizes = placed.groupBy("list", "c").agg(F.count(F.lit(1)).alias("k"))
     span = sizes.groupBy("list").agg(F.max(F.struct("k", "c")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("list", F.col("m.c").alias("main"))
-    open_lists = placed.join(span, "list")
-    minor = open_lists.where("c <> main").select("list", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    other = open_lists.select("list", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    can = (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    cross = minor.join(other, (minor["list"] == other["list"]) & can).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    open_lists = placed.join(span, "list").join(named.select("rep", "n", "m", "bits"), "rep")
+    minor = open_lists.where("c <> main").select("list", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("bits").alias("pa"), F.col("c").alias("ca"))
+    other = open_lists.select(F.col("list").alias("_l"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("bits").alias("pb"), F.col("c").alias("cb"))
+    can = (F.col("list") == F.col("_l")) & (F.col("ca") != F.col("cb")) & _may_link(percent, F.col("na"), F.col("nb"), F.col("ma"), F.col("mb")) & _bound(percent)
+    cross = minor.join(other, can).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _verified(durable(cross.join(done, ["a", "b"], "left_anti")), sets, percent)
+    more = _links(df, durable(cross.join(done, ["a", "b"], "left_anti")), classes, percent, id_col, text_col)
     final = components(links.unionByName(more))
 
     found = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select(F.col("key").alias("_k"), F.coalesce("component", "rep").alias("component_id"))

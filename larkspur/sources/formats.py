@@ -58,6 +58,8 @@ def write(df: DataFrame, path: str, kind: str = "parquet", codec: str | None = N
         w = w.option("compression", codec)
     if by:
         w = w.partitionBy(*by)
+    if kind == "csv":
+        w = w.option("header", "true")
     w.format("json" if kind == "jsonl" else kind).save(path)
 
 
@@ -66,13 +68,17 @@ def import_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> tu
     an error has its file, line number from 1, and text."""
     from pyspark.sql.types import StringType, StructField
 
-    lines = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
-    lines = lines.where(F.trim("line") != "").select("file", (F.col("pos") + 1).alias("number"), "line")
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("_id"))
+    # a block's lines have consecutive ids, so its first id and the lines of the blocks before it number them
+    blocks = raw.groupBy("file", "block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("block")) - F.col("_n")
+    blocks = blocks.select("file", "block", "_first", before.alias("_before"))
+    lines = raw.where(F.trim("line") != "")
     full = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     marked = StructType([*full.fields, StructField("_bad", StringType())])
     parsed = lines.withColumn("_r", F.from_json("line", marked, {"columnNameOfCorruptRecord": "_bad"}))
     bad = F.col("_r").isNull() | F.col("_r._bad").isNotNull()
-    return parsed.where(~bad).select(*[F.col(f"_r.{f.name}") for f in full.fields]), parsed.where(bad).select("file", "number", "line")
+    return parsed.where(~bad).select(*[F.col(f"_r.{f.name}") for f in full.fields]), parsed.where(bad).join(blocks, ["file", "block"]).select("file", (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("number"), "line")
 
 
 def walk(spark: SparkSession, path: str, include: Sequence[str] = (), exclude: Sequence[str] = (), most_mb: int | None = None, recursive: bool = True) -> DataFrame:

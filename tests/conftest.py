@@ -12,4 +12,4 @@ from larkspur.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, partitions=4, name="tests")
+    return local_session(2, partitions=4, name="tests")

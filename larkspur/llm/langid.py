@@ -35,7 +35,7 @@ from .grams import Words, mix64
 
 CHAIN = 32
 BUCKETS = 1 << 17
-LABEL_BYTES = 2 << 20
+LABEL_BYTES = 1 << 20
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 

@@ -28,7 +28,7 @@ from .grams import Words
 
 BUCKETS = 1 << 18
 GRAMS = (3, 4)
-SCORE_BYTES = 4 << 20
+SCORE_BYTES = 1 << 20
 
 
 def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

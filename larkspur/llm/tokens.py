@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .common import arrow_rows
 
 #: Parts that a worker remembers at most.
-CACHE_PARTS = 1_000_000
+CACHE_PARTS = 400_000
 #: Bytes of text in one call of the library, about.
 CALL_BYTES = 1 << 20
 #: Characters beyond which a text is taken in pieces.

@@ -54,7 +54,7 @@ CELLS, PARTS = 1 << 20, 16
 GROUP_POSTINGS, HELD_POSTINGS = 250_000, 1_000_000
 #: Classes that a task remembers to pass on each once, at most.
 SEEN = 1_000_000
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 1 << 20
 MOST = 0xFFFF
 BITS = 1024
 
@@ -107,12 +107,22 @@ def set_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """The parity bitmap of a set, as 64-bit numbers."""
-    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1
+def parity(s: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The parity bitmap of a set, as 64-bit numbers. Half of a bitmap is the
+    exclusive or of its two halves."""
+    odd = np.bincount((s >> np.uint64(32)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_parity(s: np.ndarray) -> np.ndarray | None:
+    """A bitmap that grows with the set, three bits for two shingles or more;
+    None where ``BITS`` are as many."""
+    bits = BITS
+    while 2 * bits < 3 * len(s):
+        bits *= 2
+    return None if bits == BITS else parity(s, bits)
+
+
 def _number(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
@@ -126,20 +136,21 @@ def _survey(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         kind = None
         for batch in batches:
             kind = batch.column(0).type
-            ns, keys, bits = [], [], []
+            ns, keys, bits, wide = [], [], [], []
             for _, texts in by_bytes(batch.column(1).to_pylist()):
                 sets = shingle_sets(texts)
                 ns += [len(s) for s in sets]
                 keys += [set_key(s) if len(s) else None for s in sets]
                 bits += [parity(s) if len(s) else None for s in sets]
+                wide += [wide_parity(s) for s in sets]
                 cells += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
             m = len(ns)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(m, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], names=["_id", "n", "key", "part", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(m, pa.int32()), pa.array(bits, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))], names=["_id", "n", "key", "part", "bits", "wide"])
         if kind is not None and cells.any():
             rows = cells.reshape(PARTS, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, kind), pa.nulls(PARTS, pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(range(PARTS), pa.int32()), pa.nulls(PARTS, pa.list_(pa.int64()))], names=["_id", "n", "key", "part", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, kind), pa.nulls(PARTS, pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(range(PARTS), pa.int32()), pa.nulls(PARTS, pa.list_(pa.int64())), pa.nulls(PARTS, pa.list_(pa.int64()))], names=["_id", "n", "key", "part", "bits", "wide"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"_id {id_type.simpleString()}, n long, key binary, part int, bits array<long>")
+    return df.select(id_col, text_col).mapInArrow(run, f"_id {id_type.simpleString()}, n long, key binary, part int, bits array<long>, wide array<long>")
 
 
 def _levels(survey: DataFrame) -> np.ndarray:
@@ -298,12 +309,28 @@ def _bound(percent: int) -> Column:
     return 100 * most >= percent * (F.col("na") + F.col("nb") - most)
 
 
+def _wide_bound(percent: int) -> Column:
+    """The same of the growing bitmaps ``wa``, ``wb``, the longer one folded;
+    true where one of the sets has none."""
+
+    def fold(x: Column, other: Column) -> Column:
+        half = F.floor(F.size(x) / 2).cast("int")
+        folded = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > F.size(other), folded).otherwise(x)
+
+    a, b = fold(F.col("wa"), F.col("wb")), fold(F.col("wb"), F.col("wa"))
+    differ = F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, x: t + F.coalesce(x, F.lit(0)))
+    most = F.floor((F.col("na") + F.col("nb") - differ) / 2)
+    known = F.col("wa").isNotNull() & F.col("wb").isNotNull() & (F.greatest(F.size("wa"), F.size("wb")) <= 2 * F.least(F.size("wa"), F.size("wb")))
+    return F.when(known, 100 * most >= percent * (F.col("na") + F.col("nb") - most)).otherwise(True)
+
+
 def _links(df: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of ``pairs`` that link: those that their bitmaps let
     pass, compared as sets."""
-    one = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("pa"))
-    two = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("pb"))
-    may = durable(pairs.join(one, "a").join(two, "b").where(_bound(percent)).select("a", "b").distinct())
+    one = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("pa"), F.col("wide").alias("wa"))
+    two = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("pb"), F.col("wide").alias("wb"))
+    may = durable(pairs.join(one, "a").join(two, "b").where(_bound(percent) & _wide_bound(percent)).select("a", "b").distinct())
     wanted = may.select(F.col("a").alias("rep")).unionByName(may.select(F.col("b").alias("rep"))).distinct()
     sets = durable(_sets(df, wanted, id_col, text_col))
     left = sets.select(F.col("rep").alias("a"), F.col("s").alias("_sa"))
@@ -319,9 +346,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     arrow_rows(spark)
     survey = durable(_survey(df, id_col, text_col))
-    rows = survey.where("part is null").select("_id", "n", "key", "bits")
+    rows = survey.where("part is null").select("_id", "n", "key", "bits", "wide")
     filled = rows.where("key is not null and _id is not null")
-    classes = durable(filled.groupBy("key").agg(F.min("_id").cast("long").alias("rep"), F.max("n").alias("n"), F.first("bits").alias("bits")))
+    classes = durable(filled.groupBy("key").agg(F.min("_id").cast("long").alias("rep"), F.max("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide")))
     total = classes.agg(F.sum("n")).first()[0] or 0
     groups = max(8, -(-int(total * (1 - percent / 100) + classes.count()) // GROUP_POSTINGS))
     postings = _postings(df, text_col, _levels(survey), groups, percent)

@@ -9,8 +9,9 @@ each with the words of the other that are left above the height. Vectors that
 share a filter are compared in blocks, in double precision, so every reported
 link is exact.
 
-The height is set so that two vectors at the threshold's angle share
-``shared`` filters in expectation; the number of filters grows with the number
+The height is measured for each length of vectors on the drawn code, by random
+pairs at the threshold's angle: they share ``shared`` filters on average, and at
+most ``MISSED`` of them share none. The number of filters grows with the number
 of vectors, which keeps caps small. Equal vectors are one class and are decoded
 once. A cap with more than ``BLOCK`` vectors is cut into blocks, and pairs of
 blocks are compared in different tasks. A pair that shares several filters
@@ -26,7 +27,7 @@ An empty table gives an empty result. Columns that are not named are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, erfc, exp, pi, sqrt
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -39,28 +40,12 @@ from .components import components
 
 #: Vectors of a cap that are compared in one piece at most.
 BLOCK = 1_000
-
-
-def tail(x: float) -> float:
-    """P(Z > x) of a standard normal number."""
-    return erfc(x / sqrt(2)) / 2
-
-
-def both_tail(x: float, rho: float, steps: int = 400) -> float:
-    """P(Z1 > x, Z2 > x) of standard normal numbers of correlation ``rho``."""
-    width, r = 6.0 / steps, sqrt(1 - rho * rho)
-    points = (x + (i + 0.5) * width for i in range(steps))
-    return sum(exp(-z * z / 2) / sqrt(2 * pi) * tail((x - rho * z) / r) * width for z in points)
-
-
-def cap_height(filters: int, rho: float, shared: float) -> float:
-    """The largest height, in standard deviations, at which vectors of cosine
-    ``rho`` share ``shared`` of ``filters`` caps in expectation."""
-    low, high = 0.0, 8.0
-    for _ in range(50):
-        mid = (low + high) / 2
-        low, high = (mid, high) if filters * both_tail(mid, rho) >= shared else (low, mid)
-    return low
+#: Random pairs on which a cap's height is measured, and the share of them that
+#: may have no filter in common.
+PAIRS = 1_000
+MISSED = 0.001
+#: Bytes that a task of caps holds, about.
+PART_BYTES = 80_000_000
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -79,21 +64,66 @@ class Code:
         self.half = (dim + 1) // 2
         self.k = k
         words = [rng.normal(size=(k, n)) for n in (self.half, dim - self.half)]
-        self.words = [w / np.maximum(np.sqrt((w * w).sum(1, keepdims=True)), 1e-300) * sqrt(w.shape[1]) for w in words]
+        words = [w / np.maximum(np.sqrt((w * w).sum(1, keepdims=True)), 1e-300) * sqrt(w.shape[1]) for w in words]
+        # halves of one or no number have two words or one: equal filters would only repeat each other
+        self.words = [np.unique(w, axis=0) if w.shape[1] == 1 else w[:1] if w.shape[1] == 0 else w for w in words]
         self.height = height
 
-    def decode(self, x: np.ndarray) -> list[np.ndarray]:
-        """For each unit vector the sorted filters whose caps hold it."""
+    def products(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Products of unit vectors with the words of the first half; the order of
+        those of the second half, and their products in it."""
         y = x @ self.turn
         one, two = y[:, : self.half] @ self.words[0].T, y[:, self.half :] @ self.words[1].T
         order = np.argsort(-two, 1)
-        ranked = np.take_along_axis(two, order, 1)
-        out = []
-        for i in range(len(x)):
-            first = np.flatnonzero(one[i] + ranked[i, 0] >= self.height)
-            n = np.searchsorted(-ranked[i], one[i, first] - self.height, "right")
-            out.append(np.sort(np.repeat(first, n) * self.k + np.concatenate([order[i, :m] for m in n]) if len(first) else np.zeros(0, np.int64)))
-        return out
+        return one, order, np.take_along_axis(two, order, 1)
+
+    def filters(self, one: np.ndarray, order: np.ndarray, ranked: np.ndarray, height: float) -> np.ndarray:
+        """The sorted filters of one vector's products at a height."""
+        first = np.flatnonzero(one + ranked[0] >= height)
+        n = np.searchsorted(-ranked, one[first] - height, "right")
+        return np.sort(np.repeat(first, n) * self.k + np.concatenate([order[:m] for m in n]) if len(first) else np.zeros(0, np.int64))
+
+    def decode(self, x: np.ndarray) -> list[np.ndarray]:
+        """For each unit vector the sorted filters whose caps hold it."""
+        return [self.filters(*p, self.height) for p in zip(*self.products(x))]
+
+    def shares(self, one: tuple, two: tuple, height: float) -> np.ndarray:
+        """How many filters each pair of vectors, given by their products, shares at a height."""
+        return np.array([len(np.intersect1d(self.filters(*p, height), self.filters(*q, height), assume_unique=True)) for p, q in zip(zip(*one), zip(*two))])
+
+
+def pairs_at(dim: int, rho: float, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` random pairs of unit vectors of cosine ``rho``."""
+    rng = np.random.default_rng([seed, dim, n])
+    x, z = rng.normal(size=(2, n, dim))
+    x = unit(x)
+    if dim == 1:
+        return x, x
+    z = unit(z - (z * x).sum(1, keepdims=True) * x)
+    return x, rho * x + sqrt(1 - rho * rho) * z
+
+
+def cap_height(dim: int, k: int, rho: float, shared: float, seed: int, pairs: int = PAIRS, missed: float = MISSED) -> float:
+    """About the largest height at which random pairs of cosine ``rho`` share
+    ``shared`` filters of the drawn code on average, and a share of ``missed``
+    of them at most shares none. It is measured on the code, since the products
+    of unit vectors are bounded and have lighter tails than normal numbers."""
+    code = Code(dim, k, 0.0, seed)
+    one, two = (code.products(x) for x in pairs_at(dim, rho, pairs, seed))
+    need = min(shared, len(code.words[0]) * len(code.words[1]) / 8)
+
+    def enough(height: float) -> bool:
+        got = code.shares(one, two, height)
+        return got.mean() >= need and (got == 0).mean() <= missed
+
+    high = sqrt(dim)
+    low = high * 0.96
+    while not enough(low):
+        low, high = low * 0.96, low
+    for _ in range(6):
+        mid = (low + high) / 2
+        low, high = (mid, high) if enough(mid) else (low, mid)
+    return low
 
 
 def compare(key_filter: int, ids: np.ndarray, side: np.ndarray, count: np.ndarray, x: np.ndarray, filters: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +175,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     classes = durable(rows.where("_ok").groupBy("_v").agg(F.min("_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("m")))
     n = classes.count()
     k = max(64, ceil(sqrt(2 * n)))
-    height = cap_height(k * k, threshold, shared)
+    # one row for each length of vectors
+    heights = {r["d"]: cap_height(r["d"], k, threshold, shared, seed) for r in classes.select(F.size("_v").alias("d")).distinct().collect()}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, Code] = {}
@@ -155,7 +186,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             flat = vectors.flatten().to_numpy()
             starts = np.concatenate([[0], np.cumsum(sizes)])
             for dim in np.unique(sizes):
-                code = codes.setdefault(int(dim), Code(int(dim), k, height, seed))
+                code = codes.setdefault(int(dim), Code(int(dim), k, heights[int(dim)], seed))
                 at = np.flatnonzero(sizes == dim)
                 raw = np.stack([flat[starts[i] : starts[i + 1]] for i in at])
                 lists = code.decode(unit(raw))
@@ -183,44 +214,54 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     loads = caps.groupBy("f", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     loads = durable(loads.withColumn("g", F.ceil(F.col("n") / BLOCK).cast("int")))
     many = join_small(caps, loads, ["f", "dim"])
+    # few partitions leave rows of a vector side by side, which packs them well; more, where a task could not hold its vectors
+    load = loads.agg(F.sum(F.col("n") * F.col("g")).alias("rows"), F.sum("n").alias("n"), F.max("dim").alias("dim")).first()
+    total = load["rows"] or 0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    vector_bytes = 400 + (4 if single else 8) * (load["dim"] or 0) + (4 if k * k < 1 << 31 else 8) * (load["n"] or 0) / max(1, n)
+    while min(n, total / parts) * vector_bytes + total / parts * 48 > PART_BYTES:
+        parts *= 2
     own = F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")
     # a vector of a cut cap goes to each pair of blocks that has its own
     blocks = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
     dealt = many.withColumn("_b", F.explode(blocks)).select("f", "dim", F.col("_b.i").alias("i"), F.col("_b.j").alias("j"), F.when(F.col("_b.i") == F.col("_b.j"), 0).otherwise((own == F.col("_b.j")).cast("int")).alias("side"), "rep", "m", "x", "fs")
-    dealt = dealt.repartition("f", "dim", "i", "j").sortWithinPartitions("f", "dim", "i", "j")
+    dealt = dealt.repartition(parts, "f", "dim", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def result(tables: list[pa.Table]) -> pa.RecordBatch | None:
-            t = pa.concat_tables(tables)
-            if len(t) < 2:
-                return None
-            ids, side = t.column("rep").to_numpy(), t.column("side").to_numpy()
-            x = unit(np.frombuffer(b"".join(t.column("x").to_pylist()), np.float32 if single else np.float64).reshape(len(ids), -1))
-            fs = [np.frombuffer(b, np.int32 if k * k < 1 << 31 else np.int64) for b in t.column("fs").to_pylist()]
-            links, root = compare(t.column("f")[0].as_py(), ids, side, t.column("m").to_numpy(), x, fs, threshold)
-            on = (links > 0) | (root != ids)
-            if not on.any():
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(links[on]), pa.array(root[on])], names=["rep", "links", "root"])
-
-        held: list[pa.Table] = []
-        last = None
+        # each vector is held once, however many caps of the task it is in
+        place: dict[int, int] = {}
+        held: list[tuple[np.ndarray, int]] = []
+        fs: list[np.ndarray] = []
+        keys, cells, at = [], [], []
         for batch in batches:
             if not len(batch):
                 continue
-            keys = np.stack([batch.column(c).to_numpy() for c in range(4)], 1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(batch)]
-            for s, e in zip(cuts, cuts[1:]):
-                key = tuple(keys[s])
-                if last is not None and key != last:
-                    out = result(held)
-                    held = []
-                    if out is not None:
-                        yield out
-                last = key
-                held.append(pa.Table.from_batches([batch.slice(s, e - s)]))
-        if held and (out := result(held)) is not None:
-            yield out
+            reps, first, back = np.unique(batch.column("rep").to_numpy(), return_index=True, return_inverse=True)
+            for rep, i in zip(reps.tolist(), first.tolist()):
+                if rep not in place:
+                    place[rep] = len(held)
+                    held.append((np.frombuffer(batch.column("x")[i].as_py(), np.float32 if single else np.float64), batch.column("m")[i].as_py()))
+                    fs.append(np.frombuffer(batch.column("fs")[i].as_py(), np.int32 if k * k < 1 << 31 else np.int64))
+            keys.append(batch.column("f").to_numpy().copy())
+            cells.append(np.stack([batch.column(c).to_numpy() for c in ("dim", "i", "j", "side")]))
+            at.append(np.array([place[rep] for rep in reps.tolist()], np.int32)[back])
+        if not keys:
+            return
+        ids, count = np.fromiter(place, np.int64, len(place)), np.array([m for _, m in held])
+        keys, cells, at = np.concatenate(keys), np.concatenate(cells, 1), np.concatenate(at)
+        order = np.lexsort((*cells[:3], keys))
+        keys, cells, at = keys[order], cells[:, order], at[order]
+        del order
+        new = (keys[1:] != keys[:-1]) | (cells[:3, 1:] != cells[:3, :-1]).any(0)
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(keys)]
+        for s, e in zip(cuts, cuts[1:]):
+            if e - s < 2:
+                continue
+            here = at[s:e]
+            links, root = compare(keys[s], ids[here], cells[3, s:e], count[here], unit(np.stack([held[i][0] for i in here])), [fs[i] for i in here], threshold)
+            on = (links > 0) | (root != ids[here])
+            if on.any():
+                yield pa.RecordBatch.from_arrays([pa.array(ids[here][on]), pa.array(links[on]), pa.array(root[on])], names=["rep", "links", "root"])
 
     found = durable(dealt.mapInArrow(run, "rep long, links long, root long").groupBy("rep", "root").agg(F.sum("links").alias("links")))
     degree = found.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -148,6 +148,27 @@ def test_caps_find_planted_links(spark):
     assert caps.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_cap_heights_hold_at_every_number_and_length():
+    for dim, n in ((64, 1_000_000), (32, 80_000), (16, 80_000), (3, 10_000), (2, 10_000), (1, 10_000)):
+        k = int(np.ceil(np.sqrt(2 * n)))
+        height = caps.cap_height(dim, k, 0.9, 40.0, 23)
+        code = caps.Code(dim, k, height, 23)
+        one, two = (code.products(x) for x in caps.pairs_at(dim, 0.9, 800, 5))
+        got = code.shares(one, two, height)
+        assert (got == 0).mean() <= 0.005
+        assert dim < 3 or got.mean() >= 36
+
+
+def test_caps_find_links_of_short_vectors(spark):
+    rng = np.random.default_rng(6)
+    for dim in (1, 2, 3, 4, 16):
+        base = rng.normal(size=(60, dim))
+        x = np.concatenate([base, base + rng.normal(size=(60, dim)) * 0.3 * np.linalg.norm(base, axis=1, keepdims=True) / np.sqrt(dim)])
+        got = caps.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas().sort_values("vec_id")
+        hit = brute_links(x)
+        assert hit.any() and got["n_links"].sum() >= 0.995 * hit.sum() and (got["n_links"].values <= hit.sum(1)).all()
+
+
 def test_big_caps_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(caps, "BLOCK", 20)
     rng = np.random.default_rng(2)

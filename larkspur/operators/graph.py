@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rounds of a closure whose tables are read side by side at most.
+MERGE = 10
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, or one of this machine where that
     is unset, as in tests."""
@@ -33,17 +37,24 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def closure(edges: DataFrame, starts: DataFrame, most: int = 100, include_start: bool = False) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame, most: int | None = None, include_start: bool = False) -> DataFrame:
     """GRF1, GRF2, GRF9, GRF11: (start, node, depth) of all nodes that edges
-    (src, dst) lead to from each start, at their least depth; cycles are safe."""
+    (src, dst) lead to from each start, at their least depth; cycles are safe. ``most`` bounds
+    the depth, where it is given.
+
+    The rounds' tables are merged whenever there are ``MERGE`` of them, so plans
+    stay short on long chains."""
     frontier = stored(starts.select(F.col("start"), F.col("start").alias("node"), F.lit(0).alias("depth")).distinct())
-    seen = frontier
-    for depth in range(1, most + 1):
+    seen, depth = frontier, 0
+    while most is None or depth < most:
+        depth += 1
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct()
         new = stored(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.limit(1).count() == 0:
             break
         seen, frontier = seen.unionByName(new), new
+        if depth % MERGE == 0:
+            seen = stored(seen)
     return seen if include_start else seen.where("depth > 0")
 
 

@@ -25,6 +25,16 @@ def test_lineage_chain(spark):
     assert G.closure(loop, start("source1")).count() == 4
 
 
+def test_long_chains_are_followed_to_their_end(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        edges = G.stored(spark.createDataFrame([(i, i + 1) for i in range(104)], "src int, dst int").coalesce(1))
+        assert G.closure(edges, spark.createDataFrame([(0,)], "start int"), most=3).count() == 3
+        assert G.creates_cycle(edges, spark.createDataFrame([(104, 0)], "src int, dst int")).first()["cycle"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_diff_of_the_basic_trees(spark):
     old = spark.createDataFrame([("same", "h1", 100), ("mod", "h2", 200), ("del", "h3", 300), ("old", "h4", 400)], "name string, hash string, size int")
     new = spark.createDataFrame([("same", "h1", 100), ("mod", "h2b", 250), ("new", "h4", 400), ("add", "h5", 150)], "name string, hash string, size int")

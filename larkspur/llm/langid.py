@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, id_bucket
+from .common import arrow_rows, durable, id_bucket, join_small
 from .grams import Words, mix64
 
 CHAIN = 32
@@ -193,10 +193,11 @@ def identify(
     fold = id_bucket(id_col, folds)
     # the smallest hashes of each language, by partial sorted top lists in every task
     known = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold != held_fold)).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_l"), F.xxhash64(F.col(id_col)).alias("_h"))
-    cut = known.groupBy("_l").agg(F.count(F.lit(1)).alias("_n"))
-    near = known.join(F.broadcast(cut.limit(1_000)), "_l").where((F.col("_h") / F.lit(float(1 << 63)) + 1) / 2 <= F.lit(3.0 * train_docs) / F.col("_n"))
+    cut = durable(known.groupBy("_l").agg(F.count(F.lit(1)).alias("_n")))
+    near = join_small(known, cut, ["_l"]).where((F.col("_h") / F.lit(float(1 << 63)) + 1) / 2 <= F.lit(3.0 * train_docs) / F.col("_n"))
     picked = near.withColumn("_k", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_id"))).where(F.col("_k") <= train_docs).select("_id", "_l").distinct()
-    got = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l")).join(F.broadcast(picked), ["_id", "_l"]).where("_t is not null").toArrow().sort_by([("_id", "ascending"), ("_l", "ascending"), ("_t", "ascending")])
+    picked = durable(picked)
+    got = join_small(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l")), picked, ["_id", "_l"]).where("_t is not null").toArrow().sort_by([("_id", "ascending"), ("_l", "ascending"), ("_t", "ascending")])
     texts, langs = [t.encode() for t in got.column("_t").to_pylist()], got.column("_l").to_pylist()
     names = sorted(set(langs))
     weights, move = train(texts, np.array([names.index(x) for x in langs]), len(names)) if names else (np.zeros((BUCKETS, 0)), np.zeros((0, 0)))

@@ -8,6 +8,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a side that is joined by broadcast at most; larger sides are shuffled.
+BROADCAST_ROWS = 200_000
+
 # Event types by category, and the latency bounds in seconds.
 CATEGORIES: dict[str, tuple[str, ...]] = {
     "dataset": ("DatasetCreated", "DatasetUpdated", "DatasetDeleted", "DatasetArchived", "DatasetRestored"),
@@ -40,12 +43,23 @@ def matches(filters: Mapping[str, Sequence[object] | object | None]) -> Column:
 
 def subscriptions(events: DataFrame, subs: DataFrame, event_type: str, user: str, as_coded: bool = True) -> DataFrame:
     """JN5: (event, subscription) pairs. A null list or user passes all. As coded,
-    subscriptions without types are not seen for a type that any other names."""
+    subscriptions without types are not seen for a type that any other names.
+    More than ``BROADCAST_ROWS`` subscriptions are joined by their types and users."""
     hit = (F.col("types").isNull() | F.array_contains("types", F.col(event_type))) & (F.col("sub_user").isNull() | (F.col("sub_user") == F.col(user)))
-    pairs = events.join(F.broadcast(subs.limit(100_000)), hit)
+    few = subs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if few:
+        pairs = events.join(F.broadcast(subs), hit)
+    else:
+        typed = subs.where("types is not null").withColumn("_s", F.explode(F.array_distinct("types")))
+        free = subs.where("types is null")
+        of_type, of_user = F.col("_s") == F.col(event_type), F.col("sub_user") == F.col(user)
+        pairs = events.join(typed.where("sub_user is not null"), of_type & of_user).drop("_s")
+        pairs = pairs.unionByName(events.join(typed.where("sub_user is null"), of_type).drop("_s"))
+        pairs = pairs.unionByName(events.join(free.where("sub_user is not null"), of_user))
+        pairs = pairs.unionByName(events.crossJoin(free.where("sub_user is null")))
     if as_coded:
         named = subs.where("types is not null").select(F.explode("types").alias("_t")).distinct()
-        pairs = pairs.join(F.broadcast(named), F.col(event_type) == F.col("_t"), "left").where(F.col("_t").isNull() | F.col("types").isNotNull()).drop("_t")
+        pairs = pairs.join(F.broadcast(named) if few else named, F.col(event_type) == F.col("_t"), "left").where(F.col("_t").isNull() | F.col("types").isNotNull()).drop("_t")
     return pairs
 
 

@@ -7,12 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .events import BROADCAST_ROWS
+
 
 def chains(events: DataFrame, handlers: DataFrame, key: str, event_type: str) -> DataFrame:
     """JN6: for each event the enabled handlers of its type, the highest priority
-    first, ties by name. The handlers are a configuration of few rows."""
-    on = handlers.where("enabled").limit(10_000).select(F.col("event_type").alias("_t"), "name", "priority")
-    rows = events.join(F.broadcast(on), F.col(event_type) == F.col("_t"))
+    first, ties by name."""
+    on = handlers.where("enabled").select(F.col("event_type").alias("_t"), "name", "priority")
+    few = on.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = events.join(F.broadcast(on) if few else on, F.col(event_type) == F.col("_t"))
     order = F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), "name")))
     return rows.groupBy(key).agg(F.array_join(F.transform(order, lambda h: h["name"]), ">").alias("chain"))
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from larkspur.operators import access as X
 from larkspur.operators import events as E
 from larkspur.operators import graph as G
+from larkspur.operators import handlers as H
 from larkspur.operators import privacy as P
 from larkspur.operators import records as R
 from larkspur.sources import formats as S
@@ -44,6 +45,22 @@ def test_diff_of_the_basic_trees(spark):
     assert (s["insertions"], s["deletions"], s["total_changed"]) == (200, 300, 4)
 
 
+def test_many_subscriptions_and_handlers_all_match(spark, monkeypatch):
+    events = spark.createDataFrame([(1, "a", 7), (2, "b", 8), (3, None, 7), (4, "a", None)], "id int, kind string, who int")
+    rows = [(1, ["a", "a", "b"], None), (2, None, 7), (3, ["a"], 7), (4, None, None), (5, ["c", None], 8), (6, ["b"], 7), (7, [], None)]
+    subs = spark.createDataFrame(rows, "sub int, types array<string>, sub_user int")
+    for as_coded in (True, False):
+        few = E.subscriptions(events, subs, "kind", "who", as_coded).select("id", "sub").collect()
+        with monkeypatch.context() as m:
+            m.setattr(E, "BROADCAST_ROWS", 3)
+            many = E.subscriptions(events, subs, "kind", "who", as_coded).select("id", "sub").collect()
+        assert sorted(few) == sorted(many) and len(set(few)) == len(few) > 0
+    wide = spark.range(100_001).select(F.col("id").alias("sub"), F.array(F.lit("a")).alias("types"), F.lit(7).alias("sub_user"))
+    assert E.subscriptions(events, wide, "kind", "who").count() == 100_001
+    on = spark.range(10_001).select(F.lit("a").alias("event_type"), F.col("id").cast("string").alias("name"), F.lit(1).alias("priority"), F.lit(True).alias("enabled"))
+    assert {len(r["chain"].split(">")) for r in H.chains(events, on, "id", "kind").collect()} == {10_001}
+
+
 def test_history_limit_comes_before_the_sort(spark):
     commits = spark.createDataFrame([("c1", [], "a", "", "", 1), ("c2", ["c1"], "a", "", "", 2), ("c3", ["c2"], "a", "", "", 3)], "id string, parents array<string>, author string, email string, message string, ts int")
     assert [r["id"] for r in G.history(commits, "c3", 10).collect()] == ["c3", "c2", "c1"]

@@ -8,6 +8,7 @@ from larkspur.operators import graph as G
 from larkspur.operators import handlers as H
 from larkspur.operators import privacy as P
 from larkspur.operators import records as R
+from larkspur.plans import catalog
 from larkspur.sources import formats as S
 from larkspur.streaming import stateful as T
 
@@ -125,3 +126,10 @@ def test_token_bucket_batch_and_stream_agree(spark, tmp_path):
     T.run_available(T.token_bucket_stream(stream, "u", "t", "i", 2.0, 0.5), str(tmp_path / "out"), str(tmp_path / "state"))
     got = {r["event_id"]: r["allowed"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == want
+
+
+def test_whole_tables_are_chained_updated_and_traced(spark):
+    sf, q = "/root/testdata/sf0.001", catalog.QUERIES
+    rows = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    assert q["audit_chain_build_all"](spark, sf).count() == rows("events").count()
+    assert q["optimistic_update_all"](spark, sf).count() == rows("orders").count()

@@ -1,4 +1,4 @@
-"""Anonymization strategies as Columns (ANO1-ANO35)."""
+"""Anonymization strategies as Columns (ANO1-ANO35 but ANO24, ANO27, ANO30)."""
 
 from __future__ import annotations
 

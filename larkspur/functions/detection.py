@@ -1,4 +1,5 @@
-"""Detection of personal data in text, as Columns (DET1-DET27, WIN1-WIN4).
+"""Detection of personal data in text, as Columns (DET1-DET27 but
+DET25's BIO merge, WIN1-WIN4).
 
 A text is searched by a registry of patterns. Matches of all patterns are swept
 from the left: the earliest start wins, then the higher confidence, then the

@@ -1,5 +1,6 @@
 """Records: filters, paging, statistics, sampling, versions and lifecycle
-(FLT1-FLT4, DQL1-DQL28, SRT1-SRT5, WIN5-WIN7, AGG3-AGG5, LIF1-LIF20)."""
+(FLT1-FLT4, DQL1-DQL28 but DQL3's soft delete, SRT1-SRT5, WIN5-WIN7, AGG3-AGG5,
+LIF1-LIF20 but LIF10, LIF13, LIF14)."""
 
 from __future__ import annotations
 

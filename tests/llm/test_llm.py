@@ -169,6 +169,14 @@ def test_caps_find_links_of_short_vectors(spark):
         assert hit.any() and got["n_links"].sum() >= 0.995 * hit.sum() and (got["n_links"].values <= hit.sum(1)).all()
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda texts, labels, n: (seen.append(n), (np.zeros((langid.BUCKETS, 0)), np.zeros((0, 0))))[1])
+    rows = [(i, f"word {i}", f"l{i % 1_001}") for i in range(8_008)]
+    langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert seen == [1_001]
+
+
 def test_big_caps_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(caps, "BLOCK", 20)
     rng = np.random.default_rng(2)

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RISKS = ("Low", "Medium", "High", "Critical")
+#: A token that anonymization puts in a value's place.
+TOKEN = "TOK_[0-9a-f]{16}"
 
 
 @dataclass(frozen=True)
@@ -185,10 +187,14 @@ def _pick(values: Sequence[object], idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), idx + 1)
 
 
-def hits(text: Column, patterns: Sequence[Pattern] = PATTERNS, min_confidence: float = 0.5, min_risk: str = "Low", include: Sequence[str] = (), exclude: Sequence[str] = (), validators: dict[str, Validator] | None = None) -> Column:
+def hits(text: Column, patterns: Sequence[Pattern] = PATTERNS, min_confidence: float = 0.5, min_risk: str = "Low", include: Sequence[str] = (), exclude: Sequence[str] = (), validators: dict[str, Validator] | None = None, keep_tokens: bool = True) -> Column:
     """DET4, DET8, FLT20: swept, validated and filtered hits of ``text``: array of
-    (start, end, pattern, pii_type, confidence, risk, value)."""
+    (start, end, pattern, pii_type, confidence, risk, value). Tokens of earlier
+    anonymizations are passed over whole, unless ``keep_tokens`` is false."""
     checks = VALIDATORS | (validators or {})
+    if keep_tokens:
+        # surer than any pattern, so a token wins the sweep where both start together
+        patterns = (*patterns, Pattern("", "", TOKEN, 2.0, RISKS[0], None, "TOK_"))
     found = F.concat(*[F.transform(spans(text, p.regex, p.guard), _ordered(i, p)) for i, p in enumerate(patterns)])
 
     def shaped(x: Column) -> Column:
@@ -204,7 +210,7 @@ def hits(text: Column, patterns: Sequence[Pattern] = PATTERNS, min_confidence: f
         )
 
     def valid(x: Column) -> Column:
-        out = F.lit(True)
+        out = x["pattern"] != ""
         for name in {p.validator for p in patterns if p.validator in checks}:
             of = [p.name for p in patterns if p.validator == name]
             out = out & (~x["pattern"].isin(*of) | F.coalesce(checks[name](x["value"]), F.lit(False)))

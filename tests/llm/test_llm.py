@@ -106,12 +106,49 @@ def test_pii_redaction_keeps_the_rest(spark):
     assert [tuple(r) for r in pii.redact(df).orderBy("doc_id").collect()] == [(1, "mail [EMAIL] now", 5), (2, None, 6), (3, "clean", None)]
 
 
+def luhn_card(rng):
+    digits = [4, *rng.integers(0, 10, 14).tolist()]
+    total = sum(d if i % 2 else 2 * d - 9 * (d > 4) for i, d in enumerate(reversed(digits)))
+    return "".join(map(str, [*digits, -total % 10]))
+
+
+def test_pii_adds_wide_forms(spark):
+    """Forms that no base pattern matches are found from base examples alone."""
+    rng = np.random.default_rng(4)
+    pick = lambda *x: x[rng.integers(len(x))]
+    rows, planted = [], {}
+    for i in range(120):
+        token = rng.bytes(20).hex()
+        rows.append((i, f"{pick('call', 'on', 'und')} +49 {rng.integers(20, 90)} {rng.integers(1000, 9999)} {rng.integers(1000, 9999)} {pick('mail', 'to')} a{i}@site{i}.org {pick('host', 'at')} 10.{i}.3.{rng.integers(255)} {pick('card', 'with')} {luhn_card(rng)} on 2024-01-{i % 28 + 1:02d} for $ 12.50 in version 3.4.5 token = \"{token}\" end"))
+    for i in range(200, 240):
+        card = luhn_card(rng)
+        kind, value = pick(("email", f"bob{i} (at) site{i} (dot) com"), ("email", f"ann{i} [at] corp{i}.org"), ("phone", f"(0{rng.integers(20, 90)}) {rng.integers(1000, 9999)} {rng.integers(1000, 9999)}"), ("card", f"{card[:4]}.{card[4:8]}.{card[8:12]}.{card[12:]}"), ("ip", f"10[.]{i}[.]0[.]{rng.integers(255)}"))
+        rows.append((i, f"{pick('write', 'on', 'see')} {value} {pick('now', 'then')}"))
+        planted[i] = f"{kind}:{rows[-1][1].index(value)}:{rows[-1][1].index(value) + len(value)}"
+    clean = ["look (at) this", "on 12.05.2021 and 2021 05 12", "100.000.000 items for $ 1 200 300 400", "pages 12-14, 1999-2004", "version 10.2.300.4000", "x = 12345 67890", "token of thanks"]
+    rows += [(300 + i, t) for i, t in enumerate(clean)]
+    got = {r["doc_id"]: r for r in pii.span_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[i]["spans"] == s for i, s in planted.items())
+    assert found >= 0.9 * len(planted)
+    assert all(not got[300 + i]["spans"] for i in range(len(clean)))
+    assert all(got[i]["n_added"] == 1 and got[i]["spans"].endswith(f"secret:{rows[i][1].index('token = ') + 9}:{len(rows[i][1]) - 5}") for i in range(120))
+
+
+def test_pii_long_texts_full_of_matches(spark):
+    text = " ".join(f"é +49 30 {1000 + i % 9000} 5678 x{i}@y.io" for i in range(3000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.span_digest(df).first()
+    want = brute_base(text)
+    assert row["n_phone"] == 3000 and row["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+    assert pii.redact(df).first()["text"] == " ".join(["é [PHONE] [EMAIL]"] * 3000)
+
+
 def test_boosting_learns_a_split():
-    table = [((0, 0, 0, 0, 1, 0, 0, 0), 1, 50), ((4, 0, 0, 0, 0, 0, 0, 0), 0, 50), ((4, 0, 0, 0, 1, 0, 0, 0), 1, 40)]
-    trees, cut = pii.boost(table)
+    table = [((0, 0, 0, 0, 1, 0, 0, 0), 1, 50.0), ((4, 0, 0, 0, 0, 0, 0, 0), 0, 50.0), ((4, 0, 0, 0, 1, 0, 0, 0), 1, 40.0)]
+    trees, cut = pii.boost(table, table)
     score = lambda x: sum(pii._value(t, x) for t in trees)
     assert cut is not None and score(table[0][0]) >= cut > score(table[1][0])
-    assert pii.boost([(table[0][0], 1, 5)]) == ([], None)
+    assert pii.boost([(table[0][0], 0, 5.0)], []) == ([], None)
 
 
 def brute_links(x, threshold=0.9):
@@ -244,12 +281,21 @@ def test_bilinear_rows_are_normalised():
     assert one.tolist() == [0, classes[0], classes[1], 0, 0, classes[4]] and two.tolist() == [0, 0, classes[0], 0, 0, 0]
 
 
-def test_quality_on_held_out_rows(docs, labels, odd, empty):
+def test_quality_on_held_out_rows(spark, docs, labels, odd, empty):
     d = quality.classify(docs, labels).toPandas()
     assert (d["predicted"] == (d["score"] >= 0.3)).all() and d["score"].between(0, 1).all()
     assert (d["held_out"] == d["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)).all()
     m = d.merge(labels.toPandas(), on="doc_id")
     assert (m[~m["held_out"]]["predicted"] == m[~m["held_out"]]["quality"]).mean() > 0.9
+    more = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    known = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet").where("quality is not null")
+    m = quality.classify(more, known).toPandas().merge(known.toPandas(), on="doc_id")
+    m = m[m["held_out"]]
+    assert len(m) > 50 and (m["predicted"] == m["quality"]).mean() > max(0.95, (m["quality"] == 1).mean())
+    # several labels of one document, null labels, and an id that many rows share
+    shared = spark.range(500).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    odd_labels = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (1, None), (None, 1)], "doc_id long, quality int")
+    assert quality.classify(shared, odd_labels).count() == 500
     o = quality.classify(odd, labels.limit(0)).toPandas()
     assert len(o) == len(ODD) and (o["score"] == 0.5).all()
     assert quality.classify(empty, labels).count() == 0

@@ -1,16 +1,19 @@
 """Quality classifier: supervised subword embeddings.
 
-Each word, each character n-gram and each pair of words (only as equal or not)
-of a text is hashed to a learned vector; a document is the mean of its vectors, and a softmax layer gives the classes. The
-vectors and the layer are trained together by stochastic gradient descent in
-numpy, on a bounded sample of labelled rows (``train_docs``, the rows of the
-smallest hashes of their ids); scoring reads every whole text. At scoring, a
-vector only counts by its product with the layer, so the model that is sent out
-is one number a bucket.
+Each word and each character n-gram of a text is hashed to a learned vector;
+so is each pair of neighbouring words, as equal or not, in two buckets of its
+own (a word said twice is junk in any language, which no n-gram of given words
+says). A document is the mean of its vectors, and a softmax layer gives the
+classes. The vectors and the layer are trained together by stochastic gradient
+descent in numpy, in one task, on a bounded sample of labelled rows
+(``train_docs``, the rows of the smallest hashes of their ids); scoring reads
+every whole text. At scoring, a vector only counts by its product with the
+layer, so the model that comes back and is sent out is one number a bucket.
 
 Defined cases: a null or empty text has no features and gets the score of the
 bias; without labelled rows every score is 0.5. Labels other than 0 and 1 and
-null labels are ignored, and a document with several labels counts with each.
+null labels are ignored, and a document with several labels counts with each
+once. Of rows that share an id, the least text is learned from; all are scored.
 Repeated rows give repeated rows. Only the named columns are read.
 """
 
@@ -19,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,24 +38,23 @@ SCORE_BYTES = 1 << 20
 def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of every feature of every text, and the text it is from."""
     w = Words(texts)
-    hashes, docs = [(w.hash & np.uint64(0xFFFFFFFF)).astype(np.uint32)], [w.doc]
-    if len(w.doc):
-        # the pair of a word and the one before it, as ditto or not: no pair of given words says that
-        ditto = np.zeros(len(w.doc), np.uint32)
-        ditto[1:] = (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
-        hashes.append(ditto)
-        docs.append(w.doc)
+    hashes, docs = [(w.hash & np.uint64(BUCKETS - 1)).astype(np.uint32)], [w.doc]
+    # the pair of a word and the one before it has two buckets behind the others
+    ditto = np.full(len(w.doc), BUCKETS, np.uint32)
+    ditto[1:] += (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
+    hashes.append(ditto)
+    docs.append(w.doc)
     for n in GRAMS:
         h, d = w.chars(n)
-        hashes.append(h)
+        hashes.append(h & np.uint32(BUCKETS - 1))
         docs.append(d)
-    return np.concatenate(hashes) & np.uint32(BUCKETS - 1), np.concatenate(docs)
+    return np.concatenate(hashes), np.concatenate(docs)
 
 
 def train(texts: list[bytes], labels: np.ndarray, dim: int = 10, epochs: int = 4, rate: float = 0.1, seed: int = 5) -> tuple[np.ndarray, float]:
     """The learned weight of each bucket towards class 1, and the bias."""
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
+    vectors = rng.uniform(-1 / dim, 1 / dim, (BUCKETS + 2, dim)).astype(np.float32)
     layer, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
     rows = []
     for t in texts:
@@ -93,6 +96,19 @@ def score(texts: list[bytes], weights: np.ndarray, bias: float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out + bias, -50, 50)))
 
 
+def fit(rows: DataFrame) -> tuple[np.ndarray, float]:
+    """The weights and the bias learned from ``rows`` (_i, _y, _t), whose number
+    is bounded, in one task; only the model comes to the driver."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_i", "_y"], ignore_index=True)
+        weights, bias = train([t.encode() for t in pdf["_t"]], pdf["_y"].to_numpy())
+        return pd.DataFrame({"weights": [weights.astype(np.float32).tobytes()], "bias": [bias]})
+
+    got = rows.groupBy(F.lit(0).alias("_all")).applyInPandas(run, "weights binary, bias double").collect()
+    return (np.frombuffer(got[0]["weights"], np.float32), got[0]["bias"]) if got else (np.zeros(BUCKETS + 2, np.float32), 0.0)
+
+
 def classify(
     df: DataFrame,
     labels: DataFrame,
@@ -114,14 +130,11 @@ def classify(
     spark = df.sparkSession
     arrow_rows(spark)
     fold = id_bucket(id_col, folds)
-    picked = labels.select(id_col, F.col(label_col).alias("_y")).where(F.col("_y").isin(0, 1) & (fold != held_fold) & F.col(id_col).isNotNull())
+    picked = labels.select(id_col, F.col(label_col).alias("_y")).where(F.col("_y").isin(0, 1) & (fold != held_fold) & F.col(id_col).isNotNull()).distinct()
     picked = picked.join(df.select(id_col).distinct(), id_col, "left_semi").orderBy(F.xxhash64(F.col(id_col)), id_col, "_y").limit(train_docs)
-    # at most train_docs ids and labels are sent to every task
-    found = df.select(id_col, text_col).join(F.broadcast(picked), id_col).select(id_col, "_y", F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    got = found.toArrow().sort_by([(id_col, "ascending"), ("_y", "ascending"), ("_t", "ascending")])
-    texts, y = [t.encode() for t in got.column("_t").to_pylist()], np.array(got.column("_y").to_pylist(), dtype=int)
-    weights, bias = train(texts, y) if len(texts) else (np.zeros(BUCKETS, np.float32), 0.0)
-    model = spark.sparkContext.broadcast((weights.astype(np.float32), bias))
+    # at most train_docs ids and labels are sent to every task, and as many texts to the one that learns
+    found = df.select(id_col, text_col).join(F.broadcast(picked), id_col).groupBy(id_col, "_y").agg(F.min(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
+    model = spark.sparkContext.broadcast(fit(found.select(F.col(id_col).cast("string").alias("_i"), F.col("_y").cast("int").alias("_y"), "_t")))
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

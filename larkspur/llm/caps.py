@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from .common import arrow_rows, durable, join_small
+from .common import arrow_rows, durable, frugal, join_small
 from .components import components
 
 #: Vectors of a cap that are compared in one piece at most.
@@ -178,6 +178,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     # one row for each length of vectors
     heights = {r["d"]: cap_height(r["d"], k, threshold, shared, seed) for r in classes.select(F.size("_v").alias("d")).distinct().collect()}
 
+    @frugal
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, Code] = {}
         for batch in batches:
@@ -227,6 +228,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     dealt = many.withColumn("_b", F.explode(blocks)).select("f", "dim", F.col("_b.i").alias("i"), F.col("_b.j").alias("j"), F.when(F.col("_b.i") == F.col("_b.j"), 0).otherwise((own == F.col("_b.j")).cast("int")).alias("side"), "rep", "m", "x", "fs")
     dealt = dealt.repartition(parts, "f", "dim", "i", "j")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # each vector is held once, however many caps of the task it is in
         place: dict[int, int] = {}

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +18,19 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: Rows of text in an Arrow batch at most.
 ARROW_ROWS = 1_000
+#: Bytes of an Arrow batch at most, but for one row.
+ARROW_BYTES = 16 << 20
+
+Batches = Iterator[pa.RecordBatch]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a
-    folder of this machine where that is unset (local tests only)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or, on a
+    local master only, a folder of this machine where that is unset."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="larkspur-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -65,13 +75,37 @@ def ship(spark: SparkSession) -> None:
 
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Make ready for Arrow functions on texts: ship the package and bound the
-    rows of an Arrow batch, since texts can be long."""
+    rows and the bytes of an Arrow batch, since texts can be long."""
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
 
 
+def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` of batches, after which the worker, which is used again, gives
+    the memory that it no longer needs back to the machine."""
+
+    @wraps(run)
+    def task(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def give_back() -> None:
+    """Free memory of this process is the machine's again, where libc can do it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join a table that is usually small: broadcast once its rows are counted
     and within ``limit``, else a shuffled join whose skew Spark splits."""

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, durable, join_small
+from .common import arrow_rows, durable, frugal, join_small
 from .components import components
 from .grams import Words, mix64
 
@@ -131,6 +131,7 @@ def _survey(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """For each row ``_id``, ``n``, ``key``; besides, parts of each task's sketch."""
     id_type = df.schema[id_col].dataType
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.uint32)
         kind = None
@@ -176,6 +177,7 @@ def _postings(df: DataFrame, text_col: str, levels: np.ndarray, groups: int, per
     """Packed index lists: rows of (group, token, set, size, position) arrays."""
     sent = df.sparkSession.sparkContext.broadcast(levels)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = sent.value
         seen: set[bytes] = set()
@@ -281,6 +283,7 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
 def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(``rep``, ``s``): the sets of the documents ``wanted``, as arrays."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in by_bytes(batch.column(1).to_pylist()):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, durable, id_bucket, join_small
+from .common import arrow_rows, durable, frugal, id_bucket, join_small
 from .grams import Words, mix64
 
 CHAIN = 32
@@ -197,13 +197,16 @@ def identify(
     near = join_small(known, cut, ["_l"]).where((F.col("_h") / F.lit(float(1 << 63)) + 1) / 2 <= F.lit(3.0 * train_docs) / F.col("_n"))
     picked = near.withColumn("_k", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_id"))).where(F.col("_k") <= train_docs).select("_id", "_l").distinct()
     picked = durable(picked)
-    got = join_small(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l")), picked, ["_id", "_l"]).where("_t is not null").toArrow().sort_by([("_id", "ascending"), ("_l", "ascending"), ("_t", "ascending")])
+    # of rows that share an id and a language, the least text is learned from
+    found = join_small(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l")), picked, ["_id", "_l"]).where("_t is not null")
+    got = found.groupBy("_id", "_l").agg(F.min("_t").alias("_t")).toArrow().sort_by([("_id", "ascending"), ("_l", "ascending")])
     texts, langs = [t.encode() for t in got.column("_t").to_pylist()], got.column("_l").to_pylist()
     names = sorted(set(langs))
     weights, move = train(texts, np.array([names.index(x) for x in langs]), len(names)) if names else (np.zeros((BUCKETS, 0)), np.zeros((0, 0)))
     model = spark.sparkContext.broadcast((weights, move, names))
     id_type = df.schema[id_col].dataType.simpleString()
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, move, names = model.value
         for batch in batches:

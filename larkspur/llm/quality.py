@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, id_bucket
+from .common import arrow_rows, frugal, id_bucket
 from .grams import Words
 
 BUCKETS = 1 << 18
@@ -137,6 +137,7 @@ def classify(
     model = spark.sparkContext.broadcast(fit(found.select(F.col(id_col).cast("string").alias("_i"), F.col("_y").cast("int").alias("_y"), "_t")))
     id_type = df.schema[id_col].dataType.simpleString()
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = score([(t or "").encode() for t in batch.column(2).to_pylist()], *model.value)

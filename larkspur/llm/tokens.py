@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_rows
+from .common import arrow_rows, frugal
 
 #: Parts that a worker remembers at most.
-CACHE_PARTS = 400_000
+CACHE_PARTS = 150_000
 #: Bytes of text in one call of the library, about.
 CALL_BYTES = 1 << 20
 #: Characters beyond which a text is taken in pieces.
@@ -193,6 +193,7 @@ def count_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     arrow_rows(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:

@@ -6,7 +6,7 @@ import ctypes
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import wraps
 from pathlib import Path
 
@@ -21,6 +21,9 @@ ARROW_ROWS = 1_000
 #: Bytes of an Arrow batch at most, but for one row.
 ARROW_BYTES = 16 << 20
 
+#: Bytes of texts that a numpy step takes at once, about.
+TEXT_BYTES = 1 << 20
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -83,6 +86,20 @@ def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def by_bytes(texts: Sequence[str | bytes | None], size: int = TEXT_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """(place of the first, texts as bytes) in groups of about ``size`` bytes."""
+    group, held, at = [], 0, 0
+    for i, t in enumerate(texts):
+        b = t if isinstance(t, bytes) else (t or "").encode()
+        group.append(b)
+        held += len(b)
+        if held >= size:
+            yield at, group
+            group, held, at = [], 0, i + 1
+    if group:
+        yield at, group
+
+
 def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """``run`` of batches, after which the worker, which is used again, gives
     the memory that it no longer needs back to the machine."""

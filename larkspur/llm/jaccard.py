@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, durable, frugal, join_small
+from .common import arrow_rows, by_bytes, durable, frugal, join_small
 from .components import components
 from .grams import Words, mix64
 
@@ -54,7 +54,6 @@ CELLS, PARTS = 1 << 20, 16
 GROUP_POSTINGS, HELD_POSTINGS = 250_000, 1_000_000
 #: Classes that a task remembers to pass on each once, at most.
 SEEN = 1_000_000
-TEXT_BYTES = 1 << 20
 MOST = 0xFFFF
 BITS = 1024
 
@@ -84,20 +83,6 @@ def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     return out
 
 
-def by_bytes(texts: list[str | None], size: int = TEXT_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """(place of the first, texts) in groups of about ``size`` bytes."""
-    group, held, at = [], 0, 0
-    for i, t in enumerate(texts):
-        b = (t or "").encode()
-        group.append(b)
-        held += len(b)
-        if held >= size:
-            yield at, group
-            group, held, at = [], 0, i + 1
-    if group:
-        yield at, group
-
-
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
     """The least overlap of a set of ``n`` with any set that it links to."""
     return -(-percent * n // 100)

@@ -271,14 +271,42 @@ def test_language_model(docs, odd, empty):
     assert lm.score(empty).count() == 0
 
 
-def test_bilinear_rows_are_normalised():
-    rng = np.random.default_rng(0)
-    table = lm.train(rng.integers(0, 3, (lm.CLASSES,) * 3), steps=20)
-    assert np.allclose((10**table).sum(1), 1)
-    classes, owner, two, one = lm.token_classes([b"ab cd", b"", b" x "])
-    assert classes.tolist() == [lm.word_class(b"ab"), lm.word_class(b"cd"), 0, 0, lm.word_class(b"x"), 0]
-    assert owner.tolist() == [0, 0, 0, 1, 2, 2]
-    assert one.tolist() == [0, classes[0], classes[1], 0, 0, classes[4]] and two.tolist() == [0, 0, classes[0], 0, 0, 0]
+def test_language_model_gains_on_held_out_texts(spark):
+    d = lm.score(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")).toPandas()
+    held = d[d["held_out"]]
+    assert (held["score"].sum() - held["base_score"].sum()) / held["n_tokens"].sum() > 0.2
+
+
+@pytest.mark.parametrize("size", [0, 1, 50, 400])
+def test_bilinear_contexts_sum_to_one(size):
+    rng = np.random.default_rng(size)
+    n = size + lm.SHAPES + 1
+    two, one, number = rng.integers(0, n, (3, 5000)).astype(np.int32)
+    model = lm.train(two, one, number, size, passes=1)
+    for u, v in rng.integers(0, n, (5, 2)):
+        logs = model.log10(np.full(n, u), np.full(n, v), np.arange(n))
+        assert math.isclose((10.0**logs).sum(), 1, rel_tol=1e-4)
+
+
+def test_bilinear_model_learns_what_follows():
+    rng = np.random.default_rng(3)
+    size = 300
+    one = rng.integers(0, size, 60_000)
+    number = (one * 7 + rng.integers(0, 3, len(one))) % size
+    model = lm.train(np.zeros_like(one), one, number, size, passes=6)
+    gain = model.log10(np.zeros_like(one), one, number).mean() - np.log10(1 / size)
+    assert gain > 0.5
+
+
+def test_token_numbers():
+    places = {b"ab": 0, b"cd": 1, b"xyz": 2}
+    number, owner, place = lm.token_numbers([b"ab cd", b"", b" q xyz"], places, 2)
+    end = 2 + lm.SHAPES
+    assert number.tolist() == [0, 1, end, end, 2 + lm.word_shape(b"q"), 2 + lm.word_shape(b"xyz"), end]
+    assert owner.tolist() == [0, 0, 0, 1, 2, 2, 2] and place.tolist() == [0, 1, -1, 2]
+    two, one = lm.contexts(number, owner, end)
+    assert one.tolist() == [end, 0, 1, end, end, number[4], number[5]] and two.tolist() == [end, end, 0, end, end, end, number[4]]
+    assert lm.number_is_word(number, owner).tolist() == [True, True, False, False, True, True, False]
 
 
 def test_quality_on_held_out_rows(spark, docs, labels, odd, empty):

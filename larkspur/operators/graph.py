@@ -122,10 +122,14 @@ def history_stats(commits: DataFrame) -> DataFrame:
 def tree_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """GRF15, GRF17, JN7, SET1: (path, change, size_change) between trees of
     (name, hash, size). Deleted and added entries of equal hash are renames, each
-    used once, paired in order of their names."""
-    o, n = old.select("name", F.col("hash").alias("oh"), F.col("size").alias("os")), new.select("name", F.col("hash").alias("nh"), F.col("size").alias("ns"))
+    used once, paired in order of their names. Entries may have a ``kind`` (blob,
+    tree, link); one whose kind changed is ``type_changed``."""
+    kind = lambda df: F.col("kind") if "kind" in df.columns else F.lit("blob")
+    o = old.select("name", F.col("hash").alias("oh"), F.col("size").alias("os"), kind(old).alias("ok"))
+    n = new.select("name", F.col("hash").alias("nh"), F.col("size").alias("ns"), kind(new).alias("nk"))
     both = o.join(n, "name", "full_outer")
-    kept = both.where("oh IS NOT NULL AND nh IS NOT NULL AND oh <> nh").select(F.col("name").alias("path"), F.lit(None).cast("string").alias("old_path"), F.lit("modified").alias("change"), (F.col("ns") - F.col("os")).alias("size_change"))
+    turned = F.when(F.col("ok") != F.col("nk"), "type_changed").otherwise("modified")
+    kept = both.where("oh IS NOT NULL AND nh IS NOT NULL AND (oh <> nh OR ok <> nk)").select(F.col("name").alias("path"), F.lit(None).cast("string").alias("old_path"), turned.alias("change"), (F.col("ns") - F.col("os")).alias("size_change"))
     gone, come = both.where("nh IS NULL"), both.where("oh IS NULL")
     g = gone.select(F.col("name").alias("gone"), F.col("oh").alias("h"), "os", F.row_number().over(Window.partitionBy("oh").orderBy("name")).alias("k"))
     c = come.select(F.col("name").alias("come"), F.col("nh").alias("h"), "ns", F.row_number().over(Window.partitionBy("nh").orderBy("name")).alias("k"))
@@ -202,12 +206,54 @@ def commit_filter(author: str | None = None, message: str | None = None, merges:
     return out
 
 
-def history(commits: DataFrame, start: str, limit: int, sort: str = "bfs", **filters: object) -> DataFrame:
-    """GRF9, SRT7, WIN14: the first ``limit`` commits by depth and id from
-    ``start``, filtered, then sorted (the limit comes before the sort)."""
+def history(
+    commits: DataFrame,
+    start: str | Sequence[str],
+    limit: int | None = None,
+    sort: str = "bfs",
+    stop_at: Sequence[str] = (),
+    skip: int = 0,
+    first_parent: bool = False,
+    **filters: object,
+) -> DataFrame:
+    """GRF9, SRT7, WIN14: commits by depth and id from one or several starts,
+    with their depth and whether the shortest way to them goes by first parents
+    alone. Those of ``stop_at`` are left out and not passed. ``first_parent``
+    follows no other parents. Filters come first, then ``skip`` and ``limit``,
+    then the sort."""
     spark = commits.sparkSession
-    edges = commits.select(F.col("id").alias("src"), F.explode("parents").alias("dst"))
-    reach = closure(edges, spark.createDataFrame([(start,)], "start string"), include_start=True).select(F.col("node").alias("id"), "depth")
-    rows = commits.join(reach, "id").where(commit_filter(**filters)).orderBy("depth", "id").limit(limit)
+    starts = [start] if isinstance(start, str) else list(start)
+    walked = commits.where(~F.col("id").isin(*stop_at)) if stop_at else commits
+    edges = walked.select(F.col("id").alias("src"), F.posexplode("parents").alias("_i", "dst"))
+    edges = stored(edges.where("_i = 0") if first_parent else edges)
+    begin = spark.createDataFrame([(s, "all") for s in starts], "node string, start string").select(F.col("node").alias("_n"), "start")
+    # all starts are one source: a virtual edge leads from it to each
+    virtual = begin.select(F.lit("").alias("src"), F.lit(0).alias("_i"), F.col("_n").alias("dst"))
+    joined = stored(edges.unionByName(virtual))
+    one = spark.createDataFrame([("",)], "start string")
+    reach = closure(joined.select("src", "dst"), one).select(F.col("node").alias("id"), (F.col("depth") - 1).alias("depth"))
+    firsts = closure(joined.where("_i = 0").select("src", "dst"), one).select(F.col("node").alias("id"), (F.col("depth") - 1).alias("_f"))
+    rows = walked.join(reach, "id").join(firsts, "id", "left").withColumn("first_parent", F.coalesce(F.col("_f") == F.col("depth"), F.lit(False))).drop("_f")
+    rows = rows.where(commit_filter(**filters)).orderBy("depth", "id")
+    if skip:
+        rows = rows.offset(skip)
+    if limit is not None:
+        rows = rows.limit(limit)
     order = {"bfs": [F.col("depth"), F.col("id")], "asc": [F.col("ts"), F.col("id")], "desc": [F.desc("ts"), F.col("id")]}[sort]
     return rows.orderBy(*order)
+
+
+def both_ways(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """SET4: nodes upstream or downstream of each start, once, at the least depth."""
+    both = closure(edges, starts, most).unionByName(closure(reverse(edges), starts, most))
+    return both.groupBy("start", "node").agg(F.min("depth").alias("depth"))
+
+
+def short_id(commit: Column, length: int = 8) -> Column:
+    """CNT11: the first characters of an id."""
+    return F.left(commit, F.lit(length))
+
+
+def summary(message: Column) -> Column:
+    """CNT11: the first line of a message."""
+    return F.substring_index(message, "\n", 1)

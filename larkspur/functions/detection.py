@@ -351,9 +351,10 @@ def iban_length_ok(value: Column) -> Column:
     return F.length(F.regexp_replace(value, r"\s", "")).between(15, 34)
 
 
-def with_custom(name: str, pii_type: str, regex: str, confidence: float = 0.8, risk: str = "Medium", validator: str | None = None, guard: str | None = None) -> Pattern:
-    """UDF2: a pattern of the user's own; append it to ``PATTERNS``."""
-    return Pattern(name, pii_type, regex, confidence, risk, validator, guard)
+def with_custom(name: str, pii_type: str, regex: str, confidence: float = 0.8, risk: str = "Medium", validator: str | None = None, guard: str | None = None, needs: tuple[str, ...] = ("",)) -> Pattern:
+    """UDF2: a pattern of the user's own; append it to ``PATTERNS``. Unless it
+    names strings that it ``needs``, any text that has its guard is searched."""
+    return Pattern(name, pii_type, regex, confidence, risk, validator, guard, needs)
 
 
 def without_validator(p: Pattern) -> Pattern:

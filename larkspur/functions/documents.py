@@ -127,3 +127,27 @@ def rouge1(candidate: Column, reference: Column) -> Column:
 
 def exact_match(candidate: Column, reference: Column) -> Column:
     return (F.trim(candidate) == F.trim(reference)).cast("double")
+
+
+def _with_paths(df: DataFrame, column: str, paths: Sequence[str], change: Callable[[Column], Column]) -> Column:
+    """A struct with the texts at dotted paths changed; missing paths are passed over."""
+    out = F.col(column)
+    for path in paths:
+        kind = df.schema[column].dataType
+        for name in path.split("."):
+            kind = kind[name].dataType if hasattr(kind, "names") and name in kind.names else None
+            if kind is None:
+                break
+        if kind is not None:
+            out = out.withField(path, change(F.col(f"{column}.{path}")))
+    return out
+
+
+def seal_fields(df: DataFrame, column: str, paths: Sequence[str], key: Column) -> Column:
+    """HSH9: the texts at these paths encrypted."""
+    return _with_paths(df, column, paths, lambda v: A.encrypt(v, key))
+
+
+def open_fields(df: DataFrame, column: str, paths: Sequence[str], key: Column) -> Column:
+    """HSH9: the texts at these paths decrypted."""
+    return _with_paths(df, column, paths, lambda v: A.decrypt(v, key))

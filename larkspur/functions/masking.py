@@ -1,6 +1,6 @@
 """Further anonymization as Columns: presets, label masks, typed tokens, salted
 hashes, generalization levels, pseudonyms, strategies of the user's own, and
-tags of sub-words merged to entities (ANO21, ANO24-ANO28, ANO33, DET25, UDF3, UDF7)."""
+tags of sub-words merged to entities (ANO21, ANO24-ANO28, ANO30, ANO33, DET25, LIF20, UDF7)."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .anonymize import DEFAULTS, apply_strategy, strategy_for
+from .anonymize import DEFAULTS, apply_strategy, decrypt, encrypt, strategy_for, tokenize
 
 # The labels of masked types.
 LABELS = {
@@ -166,3 +166,30 @@ def merge_tags(tags: Column) -> Column:
 
     entities = F.aggregate(tags, zero, step, closed)
     return F.transform(entities, lambda e: F.struct(e["label"].alias("label"), e["start"].alias("start"), e["end"].alias("end"), (e["total"] / e["n"]).alias("confidence")))
+
+
+def context_tokens(hits: DataFrame) -> DataFrame:
+    """LIF20: (value, token, uses) of an anonymization: each value's token and
+    each token's value, with the number of hits."""
+    return hits.groupBy("value").agg(F.count(F.lit(1)).alias("uses")).select("value", tokenize(F.col("value")).alias("token"), "uses")
+
+
+def vault_store(values: DataFrame, value: str, key: Column, created: Column, days: int) -> DataFrame:
+    """ANO30: (token, sealed, created_at, expires_at, access_count): values under
+    their tokens, encrypted."""
+    rows = values.select(F.col(value).alias("_v"), created.alias("created_at")).where("_v IS NOT NULL")
+    rows = rows.groupBy("_v").agg(F.max("created_at").alias("created_at"))
+    return rows.select(tokenize(F.col("_v")).alias("token"), encrypt(F.col("_v"), key).alias("sealed"), "created_at", (F.col("created_at") + F.expr(f"INTERVAL {days} DAYS")).alias("expires_at"), F.lit(0).cast("long").alias("access_count"))
+
+
+def vault_read(vault: DataFrame, now: Column, key: Column) -> tuple[DataFrame, DataFrame]:
+    """ANO30: the vault with one more access of each live token, and (token,
+    opened) of these."""
+    live = F.col("expires_at") > now
+    counted = vault.withColumn("access_count", F.col("access_count") + live.cast("long"))
+    return counted, vault.where(live).select("token", decrypt(F.col("sealed"), key).alias("opened"))
+
+
+def vault_cleanup(vault: DataFrame, now: Column) -> DataFrame:
+    """ANO30: the vault without expired tokens."""
+    return vault.where(F.col("expires_at") > now)

@@ -204,3 +204,62 @@ def verify_chain(df: DataFrame, chain: str, sequence: str, fields: Sequence[str]
     before = F.lag("entry_hash", 1, anchor).over(w)
     good = before.eqNullSafe(F.col("previous_hash")) & (F.col("entry_hash") == chain_hash(F.col("previous_hash"), F.col(sequence), *[F.col(f) for f in fields]))
     return df.withColumn("_g", good).groupBy(chain).agg(F.min(F.when(~F.col("_g"), F.col(sequence))).alias("first_bad"), F.count(F.lit(1)).alias("entries"))
+
+
+def session_ends(df: DataFrame, key: str, ts: str, event_id: str, idle_s: int, most_s: int) -> DataFrame:
+    """STM12: (key, session, n, started, last_seen) of sessions that an idle gap or
+    their whole length ends. Within the runs that idle gaps part, a walk opens
+    a new session once ``most_s`` have passed since the last one's start; its
+    state is one time."""
+    w = Window.partitionBy(key).orderBy(ts, event_id)
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = df.select(key, ts, event_id, t.alias("_t"))
+    rows = rows.withColumn("_run", F.sum(F.when(F.col("_t") - F.lag("_t").over(w) <= idle_s * 1_000_000, 0).otherwise(1)).over(w))
+    # only runs longer than a session are walked; their distinct session starts come back
+    span = rows.groupBy(key, "_run").agg(F.min("_t").alias("_a"), F.max("_t").alias("_b"))
+    long_runs = span.where(F.col("_b") - F.col("_a") > most_s * 1_000_000)
+    times = rows.join(long_runs.select(key, "_run"), [key, "_run"], "left_semi").groupBy(key, "_run").agg(F.sort_array(F.collect_set("_t")).alias("_ts"))
+    zero = F.struct(F.lit(None).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fresh = acc["at"].isNull() | (x - acc["at"] > most_s * 1_000_000)
+        return F.when(fresh, F.struct(x.alias("at"), F.array_append(acc["out"], x).alias("out"))).otherwise(acc)
+
+    starts = times.select(key, "_run", F.explode(F.aggregate("_ts", zero, step, lambda acc: acc["out"])).alias("_t"))
+    starts = starts.unionByName(span.where(F.col("_b") - F.col("_a") <= most_s * 1_000_000).select(key, "_run", F.col("_a").alias("_t"))).withColumn("_new", F.lit(1))
+    first = rows.groupBy(key, "_run", "_t").agg(F.min(event_id).alias(event_id))
+    marks = starts.join(first, [key, "_run", "_t"]).select(key, event_id, "_new")
+    number = F.sum(F.coalesce("_new", F.lit(0))).over(w)
+    named = rows.join(marks, [key, event_id], "left").withColumn("session", number)
+    return named.groupBy(key, "session").agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("started"), F.max(ts).alias("last_seen"))
+
+
+def session_cleanup(sessions: DataFrame, key: str, now: Column, idle_s: int, most_s: int, per_user: int) -> DataFrame:
+    """STM13: each session's fate at a time: ``expired`` beyond its whole length, ``idle``
+    beyond the gap, ``over_cap`` if its user has ``per_user`` newer live ones, else ``active``."""
+    age, rest = F.unix_micros(now) - F.unix_micros(F.col("started").cast("timestamp")), F.unix_micros(now) - F.unix_micros(F.col("last_seen").cast("timestamp"))
+    state = F.when(age > most_s * 1_000_000, "expired").when(rest > idle_s * 1_000_000, "idle").otherwise("active")
+    rows = sessions.withColumn("state", state)
+    newer = F.sum((F.col("state") == "active").cast("int")).over(Window.partitionBy(key).orderBy(F.desc("started"), F.desc("session")))
+    return rows.withColumn("state", F.when((F.col("state") == "active") & (newer > per_user), "over_cap").otherwise(F.col("state")))
+
+
+def lock_periods(df: DataFrame, key: str, ts: str, order: Sequence[str], failed: Column, limit: int, window_s: int, lock_s: int) -> DataFrame:
+    """STM10: each event's ``locked``: whether a lock covers it. A key is locked
+    for ``lock_s`` by its ``limit``-th failure in a window since the last success;
+    a success opens it."""
+    w = Window.partitionBy(key).orderBy(*order)
+    rows = df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_f", failed)
+    rows = rows.withColumn("_k", F.sum((~F.col("_f")).cast("int")).over(w))
+    near = Window.partitionBy(key, "_k").orderBy("_t").rangeBetween(-window_s * 1_000_000, 0)
+    lock = F.when(F.col("_f") & (F.sum(F.col("_f").cast("int")).over(near) >= limit), F.col("_t") + lock_s * 1_000_000)
+    before = F.max("_l").over(Window.partitionBy(key, "_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("_l", lock)
+    return rows.withColumn("locked", F.coalesce(F.col("_t") < before, F.lit(False)) & F.col("_f")).drop("_t", "_f", "_k", "_l")
+
+
+def running_mean(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
+    """WIN13, AGG29: ``total``, ``n`` and ``mean`` of a key's values up to each row."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = df.withColumn("total", F.sum(value).over(w)).withColumn("n", F.count(value).over(w))
+    return rows.withColumn("mean", F.try_divide("total", "n"))

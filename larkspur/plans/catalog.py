@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 # the modules that register queries
-from larkspur.plans import access_q, content_q, documents_q, events_q, graph_q, history_q, lifecycle_q, masking_q, pii_q, privacy_q, records_q, security_q, sources_q, streaming_q  # noqa: E402, F401
+from larkspur.plans import access_q, checks_q, content_q, documents_q, events_q, formats_q, graph_q, history_q, lifecycle_q, masking_q, pii_q, privacy_q, records_q, security_q, sources_q, streaming_q  # noqa: E402, F401

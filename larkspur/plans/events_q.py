@@ -184,10 +184,11 @@ def status_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.transitions(_events(spark, sf_dir), "user_id", ["ts", "event_id"], "event_type").select("user_id", "event_id", "event_type")
 
 
-@query("SELECT user_id, avg_value, n FROM (SELECT user_id, event_id, avg(value) OVER w AS avg_value, count(*) OVER w AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE r = 1")
+@query("SELECT user_id, event_id, round(sum(value) OVER w, 2) / count(value) OVER w AS avg_value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN13, AGG29: the running mean after each user's last event."""
-    return _events(spark, sf_dir).groupBy("user_id").agg(F.avg("value").alias("avg_value"), F.count(F.lit(1)).alias("n"))
+    """WIN13, AGG29: the mean up to each event of its user, of sums to the cent."""
+    rows = E.running_mean(_events(spark, sf_dir), "user_id", ["ts", "event_id"], "value")
+    return rows.select("user_id", "event_id", (F.round("total", 2) / F.col("n")).alias("avg_value"))
 
 
 @query("SELECT CASE WHEN user_id % 3 = 0 THEN 'ip:10.0.0.' || (user_id % 5) WHEN user_id % 3 = 1 THEN 'user:' || user_id ELSE 'global' END AS key, count(*)::BIGINT AS n FROM events GROUP BY 1")
@@ -202,3 +203,39 @@ def rate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queue_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LIF15, SRT11: the next 20 of a queue by priority and time."""
     return table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").orderBy("o_orderpriority", "o_orderdate", "o_orderkey").limit(20).select("o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
+_SESSIONS = """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+ s(user_id, i, session, began, ts) AS (SELECT user_id, i, 1, ts, ts FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, CASE WHEN e.ts - s.ts > INTERVAL 6 HOUR OR e.ts - s.began > INTERVAL 12 HOUR THEN session + 1 ELSE session END, CASE WHEN e.ts - s.ts > INTERVAL 6 HOUR OR e.ts - s.began > INTERVAL 12 HOUR THEN e.ts ELSE began END, e.ts FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1),
+ o AS (SELECT user_id, session::BIGINT AS session, count(*)::BIGINT AS n, min(ts) AS started, max(ts) AS last_seen FROM s GROUP BY user_id, session)"""
+
+
+@query(_SESSIONS + " SELECT user_id, session, n, started, last_seen FROM o")
+def sessions_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM12: six idle hours or twelve in all end a session."""
+    return E.session_ends(_events(spark, sf_dir), "user_id", "ts", "event_id", 6 * 3600, 12 * 3600)
+
+
+@query(_SESSIONS + """, f AS (SELECT *, CASE WHEN TIMESTAMP '2024-01-31' - started > INTERVAL 10 DAY THEN 'expired' WHEN TIMESTAMP '2024-01-31' - last_seen > INTERVAL 8 DAY THEN 'idle' ELSE 'active' END AS st FROM o)
+ SELECT user_id, session, CASE WHEN st = 'active' AND sum((st = 'active')::INT) OVER (PARTITION BY user_id ORDER BY started DESC, session DESC) > 2 THEN 'over_cap' ELSE st END AS state FROM f""")
+def sessions_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM13: what becomes of each session at a time; two live ones a user."""
+    rows = E.session_ends(_events(spark, sf_dir), "user_id", "ts", "event_id", 6 * 3600, 12 * 3600)
+    now = F.lit("2024-01-31").cast("timestamp")
+    return E.session_cleanup(rows, "user_id", now, 8 * 86_400, 10 * 86_400, 2).select("user_id", "session", "state")
+
+
+@query("""WITH e AS (SELECT *, epoch_us(ts) AS t, event_type = 'error' AS f, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+ l AS (SELECT *, CASE WHEN f AND count(*) FILTER (f) OVER (PARTITION BY user_id, k ORDER BY t RANGE BETWEEN 432000000000 PRECEDING AND CURRENT ROW) >= 2 THEN t + 172800000000 END AS u FROM e)
+ SELECT event_id, f AND coalesce(t < max(u) OVER (PARTITION BY user_id, k ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), false) AS locked FROM l""")
+def lock_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM10: two errors in five days lock for two days; anything else unlocks."""
+    return E.lock_periods(_events(spark, sf_dir), "user_id", "ts", ["ts", "event_id"], F.expr(FAILED), 2, 432_000, 172_800).select("event_id", "locked")
+
+
+@query("SELECT n_nationkey, true AS in_range, least(30000.0::DOUBLE, 100.0::DOUBLE * 2.0::DOUBLE ** n_nationkey) AS low FROM nation")
+def infra_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM18: delays between the capped doubling and 30% more."""
+    low = E.infra_backoff(F.col("n_nationkey"), 0.0)
+    got = E.infra_backoff(F.col("n_nationkey"), 0.3, 7)
+    return table(spark, sf_dir, "nation").select("n_nationkey", low.alias("low"), got.alias("got")).select("n_nationkey", F.col("got").between(F.col("low"), F.col("low") * 1.3).alias("in_range"), "low")

@@ -161,3 +161,42 @@ def dot(edges: DataFrame) -> DataFrame:
 def found_any(hits: DataFrame) -> bool:
     """SNK1: the gate of a scan, whether anything was found."""
     return hits.limit(1).count() > 0
+
+
+def put_within(store: DataFrame, entries: DataFrame, budget: int, size: str = "size") -> DataFrame:
+    """SRC8: ``put`` into a store of bounded size; beyond it nothing is put and an
+    error is raised. Only a sum comes back."""
+    after = put(store, entries)
+    used = after.agg(F.sum(size)).first()[0] or 0
+    if used > budget:
+        raise ValueError(f"quota exceeded: {used} of {budget} bytes")
+    return after
+
+
+def cache_lookups(requests: DataFrame, store: DataFrame, key: str, ts: str, ttl_s: int = 3600, negative_ttl_s: int = 60) -> DataFrame:
+    """SRC13: ``outcome`` of each read through a cache: ``hit`` or ``negative_hit``
+    within the time to live of the key's last fetch (found or not), else ``miss``
+    or ``negative_miss``, which fetch. Hits do not renew an entry. A walk over a
+    key's times keeps one time; keys are walked in parallel."""
+    there = requests.join(store.select(key).distinct().withColumn("_s", F.lit(True)), key, "left").withColumn("_s", F.coalesce("_s", F.lit(False)))
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    times = there.select(key, "_s", t.alias("_t")).groupBy(key).agg(F.first("_s").alias("_s"), F.sort_array(F.collect_set("_t")).alias("_ts"))
+    live = F.when(F.col("_s"), ttl_s).otherwise(negative_ttl_s).cast("long") * 1_000_000
+    zero = F.struct(F.lit(None).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fetch = acc["at"].isNull() | (x - acc["at"] >= F.col("_l"))
+        return F.when(fetch, F.struct(x.alias("at"), F.array_append(acc["out"], x).alias("out"))).otherwise(acc)
+
+    fetched = times.withColumn("_l", live).select(key, F.explode(F.aggregate("_ts", zero, step, lambda acc: acc["out"])).alias("_t"), F.lit(True).alias("_fetch"))
+    rows = there.withColumn("_t", t).join(fetched, [key, "_t"], "left")
+    name = F.concat(F.when(F.col("_s"), "").otherwise("negative_"), F.when(F.col("_fetch"), "miss").otherwise("hit"))
+    return rows.withColumn("outcome", name).drop("_s", "_t", "_fetch")
+
+
+def scan_report(hits: DataFrame, by: Sequence[str], path: str, kind: str = "csv") -> bool:
+    """SNK1: the entities of each file as a report in files of one format; true if
+    anything was found, on which a gate may fail."""
+    report = hits.groupBy(*by).agg(F.count(F.lit(1)).alias("entities"))
+    write(report, path, kind)
+    return found_any(hits)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -56,6 +57,10 @@ def manifest_check(chunks: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.every("_ok").alias("valid"), F.count(F.lit(1)).alias("chunks"), F.sum("length").alias("total"))
 
 
+#: A byte whose low six bits are zero, and two zero bytes.
+BOUNDARY = re.compile(rb"[\x00\x40\x80\xc0]\x00\x00")
+
+
 def content_chunks(df: DataFrame, key: str, data: str, least: int = 256, most: int = 4096) -> DataFrame:
     """CNT5: content-defined chunks. A chunk of ``least`` bytes or more ends after
     a byte b[i] with b[i] = b[i-1] = 0 and the low six bits of b[i-2] zero, or at ``most``."""
@@ -65,10 +70,9 @@ def content_chunks(df: DataFrame, key: str, data: str, least: int = 256, most: i
         out, start = [], 0
         while start < len(raw):
             end = min(start + most, len(raw))
-            for i in range(start + least - 1, end):
-                if i >= 2 and raw[i] == 0 and raw[i - 1] == 0 and raw[i - 2] & 0x3F == 0:
-                    end = i + 1
-                    break
+            found = BOUNDARY.search(raw, max(0, start + least - 3), end)
+            if found:
+                end = found.end()
             out.append(end - start)
             start = end
         return out

@@ -313,7 +313,8 @@ def keyword_rows(df: DataFrame, keys: Sequence[str], text_col: str = "text") ->
     low = F.lower(F.col(text_col))
     for word, kind, boost, _, _ in KEYWORDS:
         if_any = df.where(F.contains(low, F.lit(word)))
-        parts = F.slice(F.split(F.col(text_col), f"(?i)\\Q{word}\\E", -1), 2, 1_000_000)
+        parts = F.split(F.col(text_col), f"(?i)\\Q{word}\\E", -1)
+        parts = F.slice(parts, F.lit(2), F.size(parts))
         one = if_any.select(*keys, F.lit(word).alias("keyword"), F.lit(kind).alias("pii_type"), F.explode(parts).alias("_rest"), F.lit(0.5 + boost).alias("confidence"))
         rows = one if rows is None else rows.unionByName(one)
     return rows.withColumn("value", value_after(F.col("_rest"))).where("value <> ''").drop("_rest")

@@ -10,7 +10,7 @@ from larkspur.operators import events as E
 from larkspur.operators import records as R
 from larkspur.session import table
 
-from .catalog import ORACLES, query
+from .catalog import query
 
 FAILED = "event_type = 'error'"
 
@@ -139,21 +139,15 @@ def audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE user_id < 20),
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
  c AS (SELECT user_id, event_id, k, sha256(concat_ws('|', event_id::VARCHAR, event_type, '')) AS h FROM e WHERE k = 1
  UNION ALL SELECT e.user_id, e.event_id, e.k, sha256(concat_ws('|', e.event_id::VARCHAR, e.event_type, c.h)) FROM c JOIN e ON e.user_id = c.user_id AND e.k = c.k + 1)
 SELECT user_id, event_id, h AS entry_hash FROM c"""
 )
-def audit_chain_build(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    """WIN8: one chain for each of twenty users (a stated set of chains)."""
-    rows = _events(spark, sf_dir).where("true" if every else "user_id < 20")
-    return E.build_chain(rows, "user_id", "event_id", ["event_type"]).select("user_id", "event_id", "entry_hash")
-
-
-@query(ORACLES["audit_chain_build"].replace(" WHERE user_id < 20", ""))
-def audit_chain_build_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def audit_chain_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN8: one chain for each user."""
-    return audit_chain_build(spark, sf_dir, True)
+    rows = _events(spark, sf_dir)
+    return E.build_chain(rows, "user_id", "event_id", ["event_type"]).select("user_id", "event_id", "entry_hash")
 
 
 @query("SELECT user_id, min(event_id) FILTER (event_id % 97 = 0) AS first_bad, count(*)::BIGINT AS entries FROM events GROUP BY user_id")

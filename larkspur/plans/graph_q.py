@@ -8,27 +8,22 @@ from pyspark.sql import functions as F
 from larkspur.operators import graph as G
 from larkspur.session import table
 
-from .catalog import ORACLES, query
+from .catalog import query
 
 # Lineage: region -> nation -> customer, and order -> customer's orders by priority class.
 _EDGES = """edges AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer
- UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders WHERE o_totalprice > 150000)"""
+ UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders)"""
 _NODES = "nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges)"
 
 
-def _edges(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
     n = table(spark, sf_dir, "nation").select(name("r", "n_regionkey").alias("src"), name("n", "n_nationkey").alias("dst"))
     c = table(spark, sf_dir, "customer").select(name("n", "c_nationkey").alias("src"), name("c", "c_custkey").alias("dst"))
-    o = table(spark, sf_dir, "orders").where("true" if every else "o_totalprice > 150000").select(name("c", "o_custkey").alias("src"), name("o", "o_orderkey").alias("dst"))
+    o = table(spark, sf_dir, "orders").select(name("c", "o_custkey").alias("src"), name("o", "o_orderkey").alias("dst"))
     return n.unionByName(c).unionByName(o)
 
 
-def _whole(name: str) -> str:
-    """The SQL of a query over the edges of all orders."""
-    return ORACLES[name].replace(" WHERE o_totalprice > 150000", "")
-
-
 def _nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
 
@@ -41,61 +36,37 @@ _DOWN = f"WITH RECURSIVE {_EDGES}, c(start, node, depth) AS (SELECT src, dst, 1
 
 
 @query(_DOWN + " SELECT start, left(node, 1) AS kind, depth, count(*)::BIGINT AS n FROM (SELECT start, node, min(depth)::INT AS depth FROM c GROUP BY ALL) GROUP BY ALL")
-def lineage_down(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+def lineage_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRF2, GRF21: what stands downstream of each region."""
-    down = G.closure(_edges(spark, sf_dir, every), _regions(spark))
+    down = G.closure(_edges(spark, sf_dir), _regions(spark))
     return down.groupBy("start", F.left("node", F.lit(1)).alias("kind"), "depth").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH RECURSIVE {_EDGES}, c(start, node, depth) AS (SELECT dst, src, 1 FROM edges WHERE dst LIKE 'o%' UNION ALL SELECT start, src, depth + 1 FROM c JOIN edges ON node = dst) SELECT node, count(*)::BIGINT AS n FROM c WHERE depth = 3 GROUP BY node")
-def lineage_up(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+def lineage_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRF1, DQL16: regions three steps above orders, and their orders."""
-    edges = G.stored(_edges(spark, sf_dir, every))
+    edges = G.stored(_edges(spark, sf_dir))
     starts = edges.where("dst LIKE 'o%'").select(F.col("dst").alias("start"))
     return G.closure(G.reverse(edges), starts).where("depth = 3").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {_EDGES}, {_NODES} SELECT 'root' AS kind, node FROM nodes WHERE node NOT IN (SELECT dst FROM edges) UNION ALL SELECT 'leaf', node FROM nodes WHERE node NOT IN (SELECT src FROM edges)")
-def lineage_roots_leaves(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+def lineage_roots_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRF7, AGG31."""
-    edges = _edges(spark, sf_dir, every)
+    edges = _edges(spark, sf_dir)
     nodes = _nodes(edges)
     return G.roots(nodes, edges).select(F.lit("root").alias("kind"), "node").unionByName(G.leaves(nodes, edges).select(F.lit("leaf").alias("kind"), "node"))
 
 
 @query(_DOWN + " SELECT start, CASE left(node, 1) WHEN 'n' THEN 'nation' WHEN 'c' THEN 'customer' ELSE 'order' END AS node_type, count(DISTINCT node)::BIGINT AS n FROM c GROUP BY ALL")
-def lineage_impact(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+def lineage_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG30, DQL27."""
-    edges = G.stored(_edges(spark, sf_dir, every))
+    edges = G.stored(_edges(spark, sf_dir))
     kind = F.left("node", F.lit(1))
     nodes = _nodes(edges).withColumn("node_type", F.when(kind == "n", "nation").when(kind == "c", "customer").when(kind == "r", "region").otherwise("order"))
     return G.impact(edges, _regions(spark), nodes)
 
 
-@query(_whole("lineage_down"))
-def lineage_down_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineage_down over all orders."""
-    return lineage_down(spark, sf_dir, True)
-
-
-@query(_whole("lineage_up"))
-def lineage_up_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineage_up over all orders."""
-    return lineage_up(spark, sf_dir, True)
-
-
-@query(_whole("lineage_roots_leaves"))
-def lineage_roots_leaves_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineage_roots_leaves over all orders."""
-    return lineage_roots_leaves(spark, sf_dir, True)
-
-
-@query(_whole("lineage_impact"))
-def lineage_impact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineage_impact over all orders."""
-    return lineage_impact(spark, sf_dir, True)
-
-
 _NET = "net(src, dst) AS (SELECT 'p' || i, 'p' || (i + s) FROM range(1, 13) t(i), (VALUES (1), (2), (5)) v(s) WHERE i + s <= 13)"
 
 

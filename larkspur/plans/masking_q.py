@@ -129,3 +129,13 @@ def pii_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     df = spark.createDataFrame(rows, "id int, tags array<struct<start:int,end:int,label:string,confidence:double>>")
     return df.select("id", F.inline(M.merge_tags(F.col("tags")))).select("id", "label", "start", "end", F.round("confidence", 6).alias("confidence"))
+
+
+@query("SELECT count(*)::BIGINT AS n, true AS within, true AS plain_text_is_null, true AS laplace_near, true AS gaussian_near FROM orders")
+def anon_noise_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ANO12, ANO29: noise within its level; differential privacy's noise near zero on average."""
+    price = F.col("o_totalprice")
+    rows = table(spark, sf_dir, "orders").select(price.alias("p"), A.noise(price.cast("string"), 0.1, 5).cast("double").alias("v"), A.noise(F.col("o_orderstatus"), 0.1, 5).alias("t"), A.laplace(F.lit(0.0), 1.0, 1.0, 6).alias("l"), A.gaussian(F.lit(0.0), 1.0, 1.0, seed=7).alias("g"))
+    near = lambda c, scale: (F.abs(F.avg(c)) < scale * 6 / F.sqrt(F.count(F.lit(1)))) & (F.stddev(c).between(scale * 0.7, scale * 1.4))
+    # the deviations of both kinds at these settings
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.every(F.abs(F.col("v") - F.col("p")) <= F.abs(F.col("p")) * 0.1 + 0.01).alias("within"), F.every(F.col("t").isNull()).alias("plain_text_is_null"), near("l", 2**0.5).alias("laplace_near"), near("g", 4.8448).alias("gaussian_near"))

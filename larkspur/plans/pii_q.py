@@ -108,11 +108,16 @@ def pii_framework_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("framework").agg(F.count_distinct("doc_id").alias("docs"), F.count(F.lit(1)).alias("hits"))
 
 
-@query("WITH k AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '(?i)password[=:]\\s*(\\S+)', 0)) AS m FROM documents) SELECT doc_id, 'password' AS keyword, count(*)::BIGINT AS n FROM k GROUP BY doc_id")
+_KEYWORDS = ", ".join(f"('{k[0]}', '{k[1]}')" for k in D.KEYWORDS)
+# a keyword's characters other than letters are the point, the hyphen, the underscore and the blank
+_REST = "regexp_split_to_array(text, '(?i)' || replace(keyword, '.', '[.]'))"
+
+
+@query(f"WITH k(keyword, pii_type) AS (VALUES {_KEYWORDS}), r AS (SELECT doc_id, keyword, pii_type, unnest({_REST}[2:]) AS rest FROM documents JOIN k ON contains(lower(text), keyword)), v AS (SELECT *, regexp_extract(rest, '^[:= \\t\"'']*([^\\s,\"'']+)', 1) AS value FROM r) SELECT doc_id, keyword, pii_type, count(*)::BIGINT AS n, min(value) AS first_value, max(value) AS last_value FROM v WHERE value <> '' GROUP BY ALL")
 def pii_keyword_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DET15, DET16: keyword occurrences that a value follows directly."""
-    rows = D.keyword_rows(table(spark, sf_dir, "documents").where(F.lower("text").rlike(r"password[=:]\s*\S")), ["doc_id"])
-    return rows.where("keyword = 'password'").groupBy("doc_id", "keyword").agg(F.count(F.lit(1)).alias("n"))
+    """DET15, DET16: every occurrence of every keyword that a value follows."""
+    rows = D.keyword_rows(table(spark, sf_dir, "documents"), ["doc_id"])
+    return rows.groupBy("doc_id", "keyword", "pii_type").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("first_value"), F.max("value").alias("last_value"))
 
 
 def _rewritten(spark: SparkSession, sf_dir: str, strategy: str | None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.operators import records as R
 from larkspur.session import table
 
-from .catalog import ORACLES, query
+from .catalog import query
 
 
 @query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE (o_orderstatus IN ('O', 'F') AND o_totalprice >= 100000) OR NOT (o_orderpriority LIKE '%URGENT%' OR o_custkey > 100)")
@@ -133,20 +133,14 @@ def record_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.as_of(table(spark, sf_dir, "conversations"), "conv_id", "turn", 3, ["role"])
 
 
-@query("WITH cur AS (SELECT conv_id, max(turn) AS v FROM conversations GROUP BY conv_id) SELECT o_orderkey AS conv_id, 3::BIGINT AS expected_version, CASE WHEN v IS NULL THEN 'missing' WHEN v = 3 THEN 'ok' ELSE 'conflict' END AS outcome FROM orders LEFT JOIN cur ON conv_id = o_orderkey WHERE o_orderkey < 400")
-def optimistic_update(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+@query("WITH cur AS (SELECT conv_id, max(turn) AS v FROM conversations GROUP BY conv_id) SELECT o_orderkey AS conv_id, 3::BIGINT AS expected_version, CASE WHEN v IS NULL THEN 'missing' WHEN v = 3 THEN 'ok' ELSE 'conflict' END AS outcome FROM orders LEFT JOIN cur ON conv_id = o_orderkey")
+def optimistic_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LIF3: updates that expect version 3 of each conversation."""
     current = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("version"))
-    updates = table(spark, sf_dir, "orders").where("true" if every else "o_orderkey < 400").select(F.col("o_orderkey").alias("conv_id"), F.lit(3).cast("long").alias("expected_version"))
+    updates = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("conv_id"), F.lit(3).cast("long").alias("expected_version"))
     return R.optimistic_update(current, updates, "conv_id")
 
 
-@query(ORACLES["optimistic_update"].replace(" WHERE o_orderkey < 400", ""))
-def optimistic_update_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LIF3: an update for each order."""
-    return optimistic_update(spark, sf_dir, True)
-
-
 @query("SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, date_trunc('day', ts) ORDER BY ts, event_id) = 1")
 def idempotent_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LIF4: the first event of each user, type and day."""

@@ -131,7 +131,7 @@ def test_token_bucket_batch_and_stream_agree(spark, tmp_path):
 def test_whole_tables_are_chained_updated_and_traced(spark):
     sf, q = "/root/testdata/sf0.001", catalog.QUERIES
     rows = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
-    assert q["audit_chain_build_all"](spark, sf).count() == rows("events").count()
-    assert q["optimistic_update_all"](spark, sf).count() == rows("orders").count()
-    leaves = q["lineage_roots_leaves_all"](spark, sf).where("kind = 'leaf' AND node LIKE 'o%'")
+    assert q["audit_chain_build"](spark, sf).count() == rows("events").count()
+    assert q["optimistic_update"](spark, sf).count() == rows("orders").count()
+    leaves = q["lineage_roots_leaves"](spark, sf).where("kind = 'leaf' AND node LIKE 'o%'")
     assert leaves.count() == rows("orders").count()

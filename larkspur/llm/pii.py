@@ -6,7 +6,8 @@ first and the last group, checksum) and context features (cue words before it,
 neighbouring characters). Boosted regression trees, learned here, score the
 candidates, and a threshold calibrated for each kind on texts that the trees
 did not see selects those that are added to the base spans. Only DataFrame
-operations are used; the trees become one arithmetic expression.
+operations are used; the trees score the combinations of features that occur,
+whose number is bounded, and candidates are joined with those that pass.
 
 Base spans (always kept) are the leftmost non-overlapping matches of one fixed
 pattern for each kind, less those that fail its check (octets up to 255; 13 to
@@ -89,6 +90,7 @@ CHANGED = 0.05
 PRECISION = 0.98
 #: Places of an array that are gone through one by one in a row.
 BLOCK = 128
+SPANS = "array<struct<start:int,end:int,from:int,until:int,value:string,before:string,after:string,gap:int>>"
 SPAN = "struct<rank:int,start:int,end:int,kind:string,from:int,until:int>"
 
 Tree = tuple
@@ -152,12 +154,6 @@ def spans(text: Column, pattern: str, guard: str) -> Column:
     """All matches of ``pattern``: array of (start, end, from, until, value,
     before, after, gap): places in characters and in bytes, the match, what
     stands before and after it up to the next match, the characters before it."""
-    none = F.array().cast("array<string>")
-    found = F.when(text.rlike(guard), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
-    gaps = F.when(text.rlike(guard), F.split(text, pattern, -1)).otherwise(none)
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: F.struct(g.alias("g"), v.alias("v")))
-    pairs = F.zip_with(pairs, F.slice(gaps, 2, F.size(found)), lambda p, n: F.struct(p["g"].alias("g"), p["v"].alias("v"), n.alias("n")))
-
     def placed(p: Column, at: Column) -> Column:
         start, begin = at["c"] + F.length(p["g"]), at["b"] + F.octet_length(p["g"])
         return F.struct(
@@ -175,7 +171,17 @@ def spans(text: Column, pattern: str, guard: str) -> Column:
         at = F.arrays_zip(before_each(F.transform(p, lambda x: F.length(x["g"]) + F.length(x["v"]))).alias("c"), before_each(F.transform(p, lambda x: F.octet_length(x["g"]) + F.octet_length(x["v"]))).alias("b"))
         return F.zip_with(p, at, placed)
 
-    return let(F.when(F.size(found) > 0, pairs).otherwise(F.slice(pairs, 1, 0)), located)
+    def paired(found: Column) -> Column:
+        def with_gaps(gaps: Column) -> Column:
+            n = F.size(found)
+            pairs = F.zip_with(F.slice(gaps, 1, n), found, lambda g, v: F.struct(g.alias("g"), v.alias("v")))
+            return let(F.zip_with(pairs, F.slice(gaps, 2, n), lambda p, n: F.struct(p["g"].alias("g"), p["v"].alias("v"), n.alias("n"))), located)
+
+        return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), with_gaps))
+
+    # every regex is run once, and only where the guard finds something
+    matches = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), paired)
+    return F.coalesce(F.when(text.rlike(guard), matches), F.array().cast(SPANS))
 
 
 def _masked(kind: Column, value: Column) -> Column:
@@ -231,8 +237,8 @@ def candidates(texts: DataFrame) -> DataFrame:
     its label, if any. A base span has a second row as the wide form has it."""
     covers = [F.array_join(F.transform(f"_raw_{k}", _covered(k)), "").cast("binary").alias(f"_cover_{k}") for k in KINDS]
     wide = F.concat(*[F.transform(spans(F.col("_text"), WIDE[k], WIDE_GUARD[k]), _of_kind(k)) for k in ALL_KINDS])
-    # the covers are made below the rows of spans, once a text
-    proposed = texts.select("_row", *covers, wide.alias("_w")).select("_row", *[f"_cover_{k}" for k in KINDS], F.explode("_w").alias("c")).select("_row", *[f"_cover_{k}" for k in KINDS], "c.*")
+    # the covers are made below the rows of spans, once a text; the outer form has no spans computed again for a filter on their number
+    proposed = texts.select("_row", *covers, wide.alias("_w")).select("_row", *[f"_cover_{k}" for k in KINDS], F.explode_outer("_w").alias("c")).where("c IS NOT NULL").select("_row", *[f"_cover_{k}" for k in KINDS], "c.*")
     touch = F.lit(False)
     for k in KINDS:
         touch = touch | F.contains(F.substring(F.col(f"_cover_{k}"), F.col("start") + 1, F.col("end") - F.col("start")), F.lit(b"x"))
@@ -248,7 +254,7 @@ def candidates(texts: DataFrame) -> DataFrame:
     named = (kind == "secret") & F.col("before").rlike(NAMED_SECRET) & value.rlike("[0-9]")
     proposed = proposed.where(~touch).select("_row", "kind", "start", "end", "from", "until", _masked(kind, value).alias("_m"), "before", "after", F.lit(True).alias("_free"), F.when(named, 1).when(wrong, 0).alias("_y"))
     base = F.concat(*[F.transform(F.filter(f"_raw_{k}", _passing(k)), _of_kind(k)) for k in KINDS])
-    known = texts.select("_row", F.explode(base).alias("c")).select("_row", "c.*")
+    known = texts.select("_row", F.explode_outer(base).alias("c")).where("c IS NOT NULL").select("_row", "c.*")
     # a number's country and a card's layout are not in all wide forms: they are learned with and without, and with a trunk 0
     grouped = F.regexp_replace(digits_of(value), "([0-9]{4})(?=[0-9])", "$1.")
     own = _masked(kind, value)
@@ -340,13 +346,6 @@ def boost(learned: Table, held: Table) -> tuple[list[Tree], float | None]:
     return trees, None if threshold is None else max(threshold - 1e-6, log(3))
 
 
-def _expression(tree: Tree) -> str:
-    """The tree in SQL."""
-    if len(tree) == 1:
-        return f"{float(tree[0])!r}D"
-    return f"IF({list(FEATURES)[tree[0]]} <= {tree[1]}, {_expression(tree[2])}, {_expression(tree[3])})"
-
-
 def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``df``: the id, the text, ``base`` and ``added``,
     arrays of spans (rank, start, end, kind, and the places in bytes ``from``
@@ -362,17 +361,25 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     held = F.substring("_row", 1, 1).isin("c", "d", "e", "f")
     tables: dict[tuple[str, bool], Table] = {(k, h): [] for k in ALL_KINDS for h in (False, True)}
     # a row for each combination of features and label, whose number is bounded by FEATURES
-    for r in found.where("_y is not null").groupBy("kind", held.alias("_held"), *FEATURES, "_y").agg(F.count(F.lit(1)).alias("n")).collect():
-        tables[r["kind"], r["_held"]].append((tuple(r[f] for f in FEATURES), r["_y"], float(r["n"])))
-    score, threshold = F.lit(None).cast("double"), F.lit(None).cast("double")
+    seen: dict[str, set[tuple[int, ...]]] = {k: set() for k in ALL_KINDS}
+    for r in found.groupBy("kind", held.alias("_held"), *FEATURES, "_y").agg(F.count(F.lit(1)).alias("n")).collect():
+        x = tuple(r[f] for f in FEATURES)
+        seen[r["kind"]].add(x)
+        if r["_y"] is not None:
+            tables[r["kind"], r["_held"]].append((x, r["_y"], float(r["n"])))
+    passing = []
     for k in ALL_KINDS:
         trees, cut = boost(sorted(tables[k, False]), sorted(tables[k, True]))
-        if cut is not None:
-            score = F.when(F.col("kind") == k, F.expr(" + ".join(map(_expression, trees)))).otherwise(score)
-            threshold = F.when(F.col("kind") == k, F.lit(float(cut))).otherwise(threshold)
-    rank = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(ALL_KINDS)])
-    chosen = found.where("_free").withColumn("_s", score).where(F.col("_s") >= threshold)
-    chosen = chosen.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(F.col("start"), (-F.col("_s")).alias("s"), rank.alias("rank"), F.col("end"), F.col("kind"), F.col("from"), F.col("until")))).alias("_c"))
+        for x in sorted(seen[k]) if cut is not None else ():
+            score = sum(_value(t, x) for t in trees)
+            if score >= cut:
+                passing.append((k, ALL_KINDS.index(k), score, *x))
+    # the combinations that pass, of the bounded number that there can be
+    kinds = f"array<struct<kind:string,rank:int,_s:double,{','.join(f'{f}:int' for f in FEATURES)}>>"
+    listed = ", ".join(f"('{k}', {i}, {s!r}D, {', '.join(map(str, x))})" for k, i, s, *x in passing)
+    cells = df.sparkSession.range(1).select(F.inline(F.expr(f"CAST(array({listed}) AS {kinds})")))
+    chosen = found.where("_free").join(F.broadcast(cells), ["kind", *FEATURES])
+    chosen = chosen.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(F.col("start"), (-F.col("_s")).alias("s"), F.col("rank"), F.col("end"), F.col("kind"), F.col("from"), F.col("until")))).alias("_c"))
 
     def apart(at: Column, x: Column) -> tuple[Column, Column]:
         fits = x["start"] >= at

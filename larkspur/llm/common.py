@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -101,12 +102,14 @@ def by_bytes(texts: Sequence[str | bytes | None], size: int = TEXT_BYTES) -> Ite
 
 
 def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """``run`` of batches, after which the worker, which is used again, gives
-    the memory that it no longer needs back to the machine."""
+    """``run`` of batches in a worker that is used again: tokenizers that earlier
+    tasks of other stages left there are dropped before it, and what it no
+    longer needs is the machine's again after it."""
 
     @wraps(run)
     def task(batches: Batches) -> Batches:
         try:
+            drop_encoders()
             yield from run(batches)
         finally:
             give_back()
@@ -114,6 +117,14 @@ def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     return task
 
 
+def drop_encoders() -> None:
+    """Free the tokenizers of this process, if any."""
+    module = sys.modules.get(f"{__package__}.tokens")
+    if module is not None and module.ENCODERS:
+        module.ENCODERS.clear()
+        give_back()
+
+
 def give_back() -> None:
     """Free memory of this process is the machine's again, where libc can do it."""
     pa.default_memory_pool().release_unused()

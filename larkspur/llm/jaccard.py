@@ -9,7 +9,9 @@ The join is exact. Sets are the distinct five-word shingles of whole texts.
   up the index lists.
 * Block skipping: a list is ordered by set size, and a pair is skipped where
   sizes, or the shingles left after the position in each set, cannot reach the
-  needed overlap. A list in which nothing can is dropped.
+  needed overlap. A list in which nothing can is dropped. Where pairs of a list
+  are formed, sets meet in bands of sizes, of which all but their own and the
+  two beside it are skipped whole.
 * Before a pair's sets are fetched, a parity bitmap of each (``BITS`` bits, the
   exclusive or of the shingles' bits) bounds their overlap from above by
   (|a| + |b| - differing bits) / 2; a pair that the bound excludes is dropped.
@@ -17,9 +19,11 @@ The join is exact. Sets are the distinct five-word shingles of whole texts.
   least the needed overlap less what can stand behind the larger front.
 * Answer derivation: in each list, sets are first compared with one leading set.
   Sets that link to it share its component, so they need no comparison with one
-  another; only pairs of a list that are still in different components are
-  compared, each side's relation to the leaders having decided the rest. This
-  yields the same components as all links, without all pairs of a group.
+  another; only pairs of a list that are still in different components are left.
+  Of these, a set's answers follow from the leader's: it shares with another set
+  at most what the leader shares with that one, and what the leader lacks of it;
+  a pair that this bound excludes is not compared. This yields the same
+  components as all links, without all pairs of a group.
 
 The index is passed on in packed blobs, dealt by the shingle's hash to a number
 of groups that follows the corpus, so a task holds a bounded share of it.
@@ -43,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, by_bytes, durable, frugal, join_small
+from .common import arrow_rows, by_bytes, durable, forget, frugal, join_small
 from .components import components
 from .grams import Words, mix64
 
@@ -313,9 +317,9 @@ def _wide_bound(percent: int) -> Column:
     return F.when(known, 100 * most >= percent * (F.col("na") + F.col("nb") - most)).otherwise(True)
 
 
-def _links(df: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` that link: those that their bitmaps let
-    pass, compared as sets."""
+def _compared(df: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` that their bitmaps let pass, compared as sets:
+    their overlap ``both`` (null where an id has several texts) and whether they ``link``."""
     one = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("pa"), F.col("wide").alias("wa"))
     two = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("pb"), F.col("wide").alias("wb"))
     may = durable(pairs.join(one, "a").join(two, "b").where(_bound(percent) & _wide_bound(percent)).select("a", "b").distinct())
@@ -323,9 +327,19 @@ def _links(df: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int, id
     sets = durable(_sets(df, wanted, id_col, text_col))
     left = sets.select(F.col("rep").alias("a"), F.col("s").alias("_sa"))
     right = sets.select(F.col("rep").alias("b"), F.col("s").alias("_sb"))
-    both = F.size(F.array_intersect("_sa", "_sb"))
     total = F.size("_sa") + F.size("_sb")
-    return may.join(left, "a").join(right, "b").where(100 * both >= percent * (total - both)).select("a", "b").distinct()
+    found = may.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("_sa", "_sb")).alias("both"), total.alias("_t"))
+    # rows that share an id are one node: it links if any of its texts does, and has no one overlap
+    found = found.groupBy("a", "b").agg(F.when(F.count(F.lit(1)) == 1, F.max("both")).alias("both"), F.max(100 * F.col("both") >= percent * (F.col("_t") - F.col("both"))).alias("link"))
+    done = durable(found)
+    forget(sets)
+    forget(may)
+    return done
+
+
+def _band(n: Column, percent: int) -> Column:
+    """The band of a set's size: linked sets are in one band or in two side by side."""
+    return F.floor(F.log(n) / F.log(F.lit(100 / percent))).cast("int") if percent < 100 else n.cast("int")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -356,21 +370,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lead = members.groupBy("list").agg(F.max(F.struct((F.col("m") / F.col("n")).alias("r"), (-F.col("rep")).alias("o"), "n", "m")).alias("l"))
     stars = members.join(lead, "list").where((F.col("rep") != -F.col("l.o")) & _may_link(percent, F.col("n"), F.col("l.n"), F.col("m"), F.col("l.m")))
     stars = durable(stars.select((-F.col("l.o")).alias("a"), F.col("rep").alias("b")).distinct())
-    links = durable(_links(df, stars, classes, percent, id_col, text_col))
+    compared = _compared(df, stars, classes, percent, id_col, text_col)
+    links = compared.where("link").select("a", "b")
     joined = components(links)
     placed = members.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("list", "rep", F.coalesce("component", "rep").alias("c"))
     placed = durable(placed)
     # of each list that spans components: every pair with at least one set outside its largest component
     sizes = placed.groupBy("list", "c").agg(F.count(F.lit(1)).alias("k"))
     span = sizes.groupBy("list").agg(F.max(F.struct("k", "c")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("list", F.col("m.c").alias("main"))
-    open_lists = placed.join(span, "list").join(named.select("rep", "n", "m", "bits"), "rep")
-    minor = open_lists.where("c <> main").select("list", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("bits").alias("pa"), F.col("c").alias("ca"))
-    other = open_lists.select(F.col("list").alias("_l"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("bits").alias("pb"), F.col("c").alias("cb"))
-    can = (F.col("list") == F.col("_l")) & (F.col("ca") != F.col("cb")) & _may_link(percent, F.col("na"), F.col("nb"), F.col("ma"), F.col("mb")) & _bound(percent)
-    cross = minor.join(other, can).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    open_lists = placed.join(span, "list").join(lead.select("list", (-F.col("l.o")).alias("leader")), "list").join(named.select("rep", "n", "m", "bits"), "rep")
+    # what a set shares with its list's leader, as far as it was compared with it
+    answers = compared.select(F.col("a").alias("leader"), F.col("b").alias("rep"), "both")
+    open_lists = open_lists.join(answers, ["leader", "rep"], "left").withColumn("both", F.when(F.col("rep") == F.col("leader"), F.col("n")).otherwise(F.col("both"))).withColumn("band", _band(F.col("n"), percent))
+    minor = open_lists.where("c <> main").select("list", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("bits").alias("pa"), F.col("c").alias("ca"), F.col("both").alias("oa"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    other = open_lists.select("list", "band", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("bits").alias("pb"), F.col("c").alias("cb"), F.col("both").alias("ob"))
+    # two sets share at most what one shares with the leader, and all of the other that the leader lacks
+    derived = F.least(F.col("na") - F.col("oa") + F.col("ob"), F.col("nb") - F.col("ob") + F.col("oa"))
+    overlap = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
+    can = (F.col("ca") != F.col("cb")) & F.coalesce(derived >= overlap, F.lit(True)) & _may_link(percent, F.col("na"), F.col("nb"), F.col("ma"), F.col("mb")) & _bound(percent)
+    cross = minor.join(other, ["list", "band"]).where(can).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _links(df, durable(cross.join(done, ["a", "b"], "left_anti")), classes, percent, id_col, text_col)
-    final = components(links.unionByName(more))
+    cross = durable(cross.join(done, ["a", "b"], "left_anti"))
+    more = None if cross.limit(1).count() == 0 else _compared(df, cross, classes, percent, id_col, text_col).where("link").select("a", "b")
+    # the components so far stand for their links
+    final = joined if more is None else components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     found = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select(F.col("key").alias("_k"), F.coalesce("component", "rep").alias("component_id"))
     good = filled.join(found, F.col("key") == F.col("_k")).select("_id", "n", "component_id")

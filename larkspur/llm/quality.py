@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, frugal, id_bucket
+from .common import arrow_rows, drop_encoders, frugal, give_back, id_bucket
 from .grams import Words
 
 BUCKETS = 1 << 18
 GRAMS = (3, 4)
-SCORE_BYTES = 1 << 20
+SCORE_BYTES = 1 << 18
 
 
 def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,8 +101,13 @@ def fit(rows: DataFrame) -> tuple[np.ndarray, float]:
     is bounded, in one task; only the model comes to the driver."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        drop_encoders()
         pdf = pdf.sort_values(["_i", "_y"], ignore_index=True)
-        weights, bias = train([t.encode() for t in pdf["_t"]], pdf["_y"].to_numpy())
+        texts, labels = [t.encode() for t in pdf["_t"]], pdf["_y"].to_numpy()
+        del pdf
+        weights, bias = train(texts, labels)
+        del texts
+        give_back()
         return pd.DataFrame({"weights": [weights.astype(np.float32).tobytes()], "bias": [bias]})
 
     got = rows.groupBy(F.lit(0).alias("_all")).applyInPandas(run, "weights binary, bias double").collect()

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_rows, frugal
+from .common import arrow_rows
 
 #: Parts that a worker remembers at most.
 CACHE_PARTS = 150_000
@@ -176,14 +176,14 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder, which keeps its cache from one task to the next."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if path not in ENCODERS:
+        ENCODERS[path] = Encoder(path)
+    return ENCODERS[path]
 
 
 def count_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
@@ -193,7 +193,6 @@ def count_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     arrow_rows(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
 
-    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:

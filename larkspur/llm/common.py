@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 import tempfile
 import uuid
@@ -125,6 +126,15 @@ def drop_encoders() -> None:
         give_back()
 
 
+def sweep(spark: SparkSession) -> None:
+    """Collect the driver's garbage, upon which Spark's cleaner deletes the
+    shuffles and broadcasts of finished work on all executors, and the driver's
+    memory is the machine's again. For between steps of many jobs."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    give_back()
+
+
 def give_back() -> None:
     """Free memory of this process is the machine's again, where libc can do it."""
     pa.default_memory_pool().release_unused()

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, by_bytes, durable, forget, frugal, join_small
+from .common import arrow_rows, by_bytes, durable, forget, frugal, join_small, sweep
 from .components import components
 from .grams import Words, mix64
 
@@ -355,6 +355,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = max(8, -(-int(total * (1 - percent / 100) + classes.count()) // GROUP_POSTINGS))
     postings = _postings(df, text_col, _levels(survey), groups, percent)
     lists = durable(_lists(postings, percent))
+    sweep(spark)
 
     # the number of a class: its key's first eight bytes, least significant first, with sign
     octets = [F.conv(F.hex(F.substring("key", i + 1, 1)), 16, 10).cast("long") for i in range(8)]
@@ -371,8 +372,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stars = members.join(lead, "list").where((F.col("rep") != -F.col("l.o")) & _may_link(percent, F.col("n"), F.col("l.n"), F.col("m"), F.col("l.m")))
     stars = durable(stars.select((-F.col("l.o")).alias("a"), F.col("rep").alias("b")).distinct())
     compared = _compared(df, stars, classes, percent, id_col, text_col)
+    sweep(spark)
     links = compared.where("link").select("a", "b")
     joined = components(links)
+    sweep(spark)
     placed = members.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("list", "rep", F.coalesce("component", "rep").alias("c"))
     placed = durable(placed)
     # of each list that spans components: every pair with at least one set outside its largest component
@@ -391,6 +394,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cross = minor.join(other, ["list", "band"]).where(can).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = durable(cross.join(done, ["a", "b"], "left_anti"))
+    sweep(spark)
     more = None if cross.limit(1).count() == 0 else _compared(df, cross, classes, percent, id_col, text_col).where("link").select("a", "b")
     # the components so far stand for their links
     final = joined if more is None else components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))

@@ -475,3 +475,29 @@ def test_pipeline_keeps_clean_documents(spark, docs):
     good = scored[scored["predicted"] == 1]["doc_id"].tolist()
     _, comps = brute_components([(r["doc_id"], r["text"]) for r in docs.where(F.col("doc_id").isin(good)).collect()])
     assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(i for i, c in comps.items() if i == c)
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, empty):
+    import corpus_pipeline as P
+
+    for name, stage in P.STAGES:
+        out = stage(spark, odd, SF)
+        n, none = out.count(), stage(spark, empty, SF).count()
+        assert none == 0 and (name == "quality classifier" or n > 0), name
+        assert name == "best-fit packing" or out.columns == P.COLUMNS
+    # rows that share an id: one stays; a row without an id stays
+    kept = P.one_of_each(spark, odd, SF).toPandas()
+    assert kept["doc_id"].isna().sum() == 1 and kept["doc_id"].dropna().is_unique
+    # equal texts 4 and 5 are one group, of which the smallest id stays
+    assert {4} == set(kept["doc_id"].dropna()) & {4, 5}
+
+
+def test_pipeline_mix_and_pack_keep_their_words(spark, docs):
+    import corpus_pipeline as P
+
+    mixed = P.mix(spark, docs, SF).toPandas()
+    want = mixing.mix(docs).toPandas()
+    assert sorted(mixed["doc_id"]) == sorted(i for i, c in zip(want["doc_id"], want["copies"]) for _ in range(c))
+    packed = P.pack(spark, docs, SF).toPandas()
+    assert set(packed["doc_id"]) == set(docs.toPandas()["doc_id"])
+    assert (packed.groupby("sequence_id")["length"].sum() <= 1024).all()

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import jaccard, mixing, packing, pii, quality
-from larkspur.llm.common import durable, join_small, source_rows
+from larkspur.llm.common import durable, join_small, source_rows, sweep
 
 TOKENIZER = "byte_bpe_50k.json"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,10 +28,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of the smallest id, of each group of near copies;
-    a document without an id stays."""
+    of rows that share an id, which are one node of the links, the one of the
+    least text stays; a document without an id stays."""
     groups = jaccard.near_duplicates(docs)
     out = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return join_small(docs.select(COLUMNS), out, ["doc_id"], "left_anti").select(COLUMNS)
+    kept = join_small(docs.select(COLUMNS), out, ["doc_id"], "left_anti").select(COLUMNS)
+    # ids that several rows share, of which one row each is taken by a partial aggregation
+    shared = durable(kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id"))
+    single = join_small(kept, shared, ["doc_id"], "left_anti")
+    first = F.min(F.struct("text", "lang", "source", "n_chars"))
+    one = join_small(kept, shared, ["doc_id"], "left_semi").groupBy("doc_id").agg(first.alias("_r")).select("doc_id", "_r.*")
+    return single.unionByName(one).select(COLUMNS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,4 +75,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = source_rows(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = durable(stage(spark, docs, sf_dir))
+        sweep(spark)
     return docs

@@ -21,7 +21,7 @@ BROADCAST_ROWS = 200_000
 #: Rows of text in an Arrow batch at most.
 ARROW_ROWS = 1_000
 #: Bytes of an Arrow batch at most, but for one row.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
 
 #: Bytes of texts that a numpy step takes at once, about.
 TEXT_BYTES = 1 << 20
@@ -102,15 +102,13 @@ def by_bytes(texts: Sequence[str | bytes | None], size: int = TEXT_BYTES) -> Ite
         yield at, group
 
 
-def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """``run`` of batches in a worker that is used again: tokenizers that earlier
-    tasks of other stages left there are dropped before it, and what it no
-    longer needs is the machine's again after it."""
+def thrifty(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` of batches in a worker that is used again: after it, what it no
+    longer needs is the machine's again."""
 
     @wraps(run)
     def task(batches: Batches) -> Batches:
         try:
-            drop_encoders()
             yield from run(batches)
         finally:
             give_back()
@@ -118,6 +116,18 @@ def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     return task
 
 
+def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """The same of a ``run`` without tokenizers: those that earlier tasks of
+    other stages left in the worker are dropped first."""
+
+    @wraps(run)
+    def task(batches: Batches) -> Batches:
+        drop_encoders()
+        yield from run(batches)
+
+    return thrifty(task)
+
+
 def drop_encoders() -> None:
     """Free the tokenizers of this process, if any."""
     module = sys.modules.get(f"{__package__}.tokens")

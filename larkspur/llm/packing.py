@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, durable, join_small
+from .common import arrow_rows, durable, join_small, thrifty
 from .tokens import encoder
 
 #: Pieces of one length and salt that are ranked together, about.
@@ -47,6 +47,7 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     end = end_id.to_bytes(4, "little")
     names = ["piece", "start", "length", "ids_crc32"]
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:

@@ -23,10 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_rows
+from .common import arrow_rows, thrifty
 
 #: Parts that a worker remembers at most.
-CACHE_PARTS = 150_000
+CACHE_PARTS = 100_000
+#: Characters of texts that are taken apart together, about.
+GROUP_CHARS = 1 << 19
 #: Bytes of text in one call of the library, about.
 CALL_BYTES = 1 << 20
 #: Characters beyond which a text is taken in pieces.
@@ -146,7 +148,19 @@ class Encoder:
         self.kept.update(zip(new, self._ids([p if p[:1] == "\n" else " " + p for p in new])))
 
     def __call__(self, texts: Sequence[str | None]) -> list[bytes]:
-        """The ids of each text; null: none."""
+        """The ids of each text; null: none. Texts are taken in groups of about
+        ``GROUP_CHARS``, so that the parts of a batch are not all held at once."""
+        out: list[bytes] = []
+        group, held = [], 0
+        for t in texts:
+            group.append(t)
+            held += len(t or "")
+            if held >= GROUP_CHARS:
+                out += self._group(group)
+                group, held = [], 0
+        return out + self._group(group)
+
+    def _group(self, texts: Sequence[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         plain: list[tuple[int, list[str]]] = []
         missing: list[str] = []
@@ -193,12 +207,14 @@ def count_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     arrow_rows(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             n = np.array([len(x) // 4 for x in encode(texts)], dtype="int64")
             sizes = np.array([len(t.encode()) if t else 0 for t in texts], dtype="int64")
+            del texts
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean")

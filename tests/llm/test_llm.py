@@ -300,10 +300,10 @@ def test_bilinear_model_learns_what_follows():
 
 def test_token_numbers():
     places = {b"ab": 0, b"cd": 1, b"xyz": 2}
-    number, owner, place = lm.token_numbers([b"ab cd", b"", b" q xyz"], places, 2)
+    number, owner, place, words = lm.token_numbers([b"ab cd", b"", b" q xyz"], places, 2)
     end = 2 + lm.SHAPES
     assert number.tolist() == [0, 1, end, end, 2 + lm.word_shape(b"q"), 2 + lm.word_shape(b"xyz"), end]
-    assert owner.tolist() == [0, 0, 0, 1, 2, 2, 2] and place.tolist() == [0, 1, -1, 2]
+    assert owner.tolist() == [0, 0, 0, 1, 2, 2, 2] and place.tolist() == [0, 1, -1, 2] and words == [b"ab", b"cd", b"q", b"xyz"]
     two, one = lm.contexts(number, owner, end)
     assert one.tolist() == [end, 0, 1, end, end, number[4], number[5]] and two.tolist() == [end, end, 0, end, end, end, number[4]]
     assert lm.number_is_word(number, owner).tolist() == [True, True, False, False, True, True, False]

@@ -4,9 +4,11 @@ The join is exact. Sets are the distinct five-word shingles of whole texts.
 
 * Equal sets are one class, found by a 128-bit hash; only classes are joined.
 * Shingles have one global order: those that a count sketch of the whole corpus
-  holds frequent come last, others by hash. Sets whose Jaccard similarity is at
-  least t share a shingle among the first n - ceil(t n) + 1 of each; these make
-  up the index lists.
+  holds frequent come last; others stand by the product of their words' counts,
+  which such a sketch holds too, the rarest first, so that lists hold few sets
+  that meet by chance, also in a large corpus. Sets whose Jaccard similarity is
+  at least t share a shingle among the first n - ceil(t n) + 1 of each; these
+  make up the index lists.
 * Block skipping: a list is ordered by set size, and a pair is skipped where
   sizes, or the shingles left after the position in each set, cannot reach the
   needed overlap. A list in which nothing can is dropped. Where pairs of a list
@@ -52,39 +54,62 @@ from .components import components
 from .grams import Words, mix64
 
 WIDTH = 5
-#: Cells of the sketch of shingle counts, and parts that it is summed in.
-CELLS, PARTS = 1 << 20, 16
+#: Cells of the sketches of shingle counts and word counts, and cells that are summed together.
+CELLS, WORD_CELLS, PART = 1 << 20, 1 << 18, 1 << 16
 #: Postings of a group of the index, about, and those that a task holds at most.
 GROUP_POSTINGS, HELD_POSTINGS = 250_000, 1_000_000
 #: Classes that a task remembers to pass on each once, at most.
 SEEN = 1_000_000
+#: Sets of a list that are paired in one task at most, rows of lists that a task
+#: holds, about, and pairs that are looked at together.
+LIST_BLOCK, TASK_ROWS, PAIRS = 50_000, 200_000, 1_000_000
 MOST = 0xFFFF
 BITS = 1024
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    w = Words(texts, lower=True)
-    first = np.searchsorted(w.doc, np.arange(len(texts) + 1))
+    return [s for s, _ in sets_of(Words(texts, lower=True), width)]
+
+
+def sets_of(w: Words, width: int = WIDTH, places: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """The same of the texts whose words are given; with ``places``, also the
+    first word of each shingle of a text of ``width`` words or more."""
+    first = np.searchsorted(w.doc, np.arange(w.count + 1))
     h = w.hash
     run = np.zeros(0, np.uint64)
     if len(h) >= width:
         run = h[: len(h) - width + 1].copy()
         for k in range(1, width):
             run = mix64(run * np.uint64(0xD6E8FEB86659FD93) + h[k : len(h) - width + 1 + k])
-    out = []
-    for d in range(len(texts)):
-        s, e = first[d], first[d + 1]
+    for s, e in zip(first, first[1:]):
         if e - s >= width:
-            out.append(np.unique(run[s : e - width + 1]))
+            own = run[s : e - width + 1]
+            if places:
+                found, at = np.unique(own, return_index=True)
+                yield found, s + at
+            else:
+                yield np.unique(own), None
         elif e > s:
             x = np.array([e - s], np.uint64)
             for k in range(s, e):
                 x = mix64(x * np.uint64(0xA0761D6478BD642F) + h[k])
-            out.append(x)
+            yield x, None
         else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+            yield np.zeros(0, np.uint64), None
+
+
+def ranked_sets(texts: list[bytes], levels: tuple[np.ndarray, np.ndarray], width: int = WIDTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The set of each text and the places of its shingles in the global order."""
+    w = Words(texts, lower=True)
+    own = levels[1][(w.hash & np.uint64(WORD_CELLS - 1)).astype(np.int64)].astype(np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own)])
+    for s, at in sets_of(w, width, places=True):
+        rank = s >> np.uint64(17)
+        if at is not None:
+            rank |= (sums[at + width] - sums[at]) << np.uint64(47)
+            rank |= levels[0][(s & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(57)
+        yield s, rank
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -117,52 +142,57 @@ def _number(key: bytes) -> int:
 
 
 def _survey(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """For each row ``_id``, ``n``, ``key``; besides, parts of each task's sketch."""
+    """For each row ``_id``, ``n``, ``key``; besides, parts of each task's sketches."""
     id_type = df.schema[id_col].dataType
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.uint32)
+        cells, seen = np.zeros(CELLS, np.uint32), np.zeros(WORD_CELLS, np.uint32)
         kind = None
         for batch in batches:
             kind = batch.column(0).type
             ns, keys, bits, wide = [], [], [], []
             for _, texts in by_bytes(batch.column(1).to_pylist()):
-                sets = shingle_sets(texts)
+                words = Words(texts, lower=True)
+                sets = [s for s, _ in sets_of(words)]
                 ns += [len(s) for s in sets]
                 keys += [set_key(s) if len(s) else None for s in sets]
                 bits += [parity(s) if len(s) else None for s in sets]
                 wide += [wide_parity(s) for s in sets]
                 cells += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                seen += np.bincount((words.hash & np.uint64(WORD_CELLS - 1)).astype(np.int64), minlength=WORD_CELLS).astype(np.uint32)
             m = len(ns)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(m, pa.int32()), pa.array(bits, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))], names=["_id", "n", "key", "part", "bits", "wide"])
         if kind is not None and cells.any():
-            rows = cells.reshape(PARTS, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, kind), pa.nulls(PARTS, pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(range(PARTS), pa.int32()), pa.nulls(PARTS, pa.list_(pa.int64())), pa.nulls(PARTS, pa.list_(pa.int64()))], names=["_id", "n", "key", "part", "bits", "wide"])
+            rows = np.concatenate([cells, seen]).reshape(-1, PART)
+            n = len(rows)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(range(n), pa.int32()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))], names=["_id", "n", "key", "part", "bits", "wide"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"_id {id_type.simpleString()}, n long, key binary, part int, bits array<long>, wide array<long>")
 
 
-def _levels(survey: DataFrame) -> np.ndarray:
-    """The order class of each cell of the sketch: the logarithm of its count
-    above the usual, 0 for most. ``PARTS`` rows of fixed size come back."""
+def _levels(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The order class of each cell of the sketch of shingles, the logarithm of
+    its count above the usual, 0 for most, and of the sketch of words, the
+    logarithm of its count. 20 rows of fixed size come back."""
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(CELLS // PARTS, np.int64)
+        total = np.zeros(PART, np.int64)
         for b in pdf["key"]:
             total += np.frombuffer(b, np.uint32)
         return pd.DataFrame({"part": [key[0]], "sums": [total.tobytes()]})
 
-    cells = np.zeros((PARTS, CELLS // PARTS), np.int64)
+    cells = np.zeros(((CELLS + WORD_CELLS) // PART, PART), np.int64)
     for r in survey.where("part is not null").groupBy("part").applyInPandas(add, "part int, sums binary").collect():
         cells[r["part"]] = np.frombuffer(r["sums"], np.int64)
-    cells = cells.ravel()
+    cells, seen = cells.ravel()[:CELLS], cells.ravel()[CELLS:]
     usual = cells.mean()
     above = np.maximum(0, (cells - usual - 4 * np.sqrt(usual) - 4))
-    return np.minimum(127, np.ceil(np.log2(above + 1) * 4)).astype(np.uint8)
+    # five words' levels add up to less than ten bits
+    return np.minimum(127, np.ceil(np.log2(above + 1) * 4)).astype(np.uint8), np.minimum(204, np.rint(np.log2(seen + 1) * 4)).astype(np.uint8)
 
 
-def _postings(df: DataFrame, text_col: str, levels: np.ndarray, groups: int, percent: int) -> DataFrame:
+def _postings(df: DataFrame, text_col: str, levels: tuple[np.ndarray, np.ndarray], groups: int, percent: int) -> DataFrame:
     """Packed index lists: rows of (group, token, set, size, position) arrays."""
     sent = df.sparkSession.sparkContext.broadcast(levels)
 
@@ -184,7 +214,7 @@ def _postings(df: DataFrame, text_col: str, levels: np.ndarray, groups: int, per
 
         for batch in batches:
             for _, texts in by_bytes(batch.column(0).to_pylist()):
-                for s in shingle_sets(texts):
+                for s, rank in ranked_sets(texts, level):
                     if not len(s):
                         continue
                     key = set_key(s)
@@ -195,7 +225,6 @@ def _postings(df: DataFrame, text_col: str, levels: np.ndarray, groups: int, per
                     seen.add(key)
                     n = len(s)
                     m = n - int(needed(np.int64(n), percent)) + 1
-                    rank = (level[(s & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
                     front = np.argsort(rank, kind="stable")[:m] if m < n else np.arange(n)
                     # sizes and positions beyond two bytes are kept as unknown, which skips nothing
                     held.append((s[front], np.full(m, _number(key), np.int64), np.full(m, min(n, MOST), np.uint16), np.arange(m, dtype=np.int64).clip(0, MOST).astype(np.uint16)))
@@ -342,6 +371,89 @@ def _band(n: Column, percent: int) -> Column:
     return F.floor(F.log(n) / F.log(F.lit(100 / percent))).cast("int") if percent < 100 else n.cast("int")
 
 
+def crossing(rows: dict[str, np.ndarray], bits: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (a, b), a < b, of a row that asks and one that does not, of one
+    ``group`` but different components ``c``, that all bounds let pass. ``both``
+    is what a set shares with its list's leader, -1 if unknown."""
+    asks = np.flatnonzero(rows["asks"])
+    told = np.flatnonzero(~rows["asks"])
+    told = told[np.lexsort((rows["n"][told], rows["group"][told]))]
+    if not len(asks) or not len(told):
+        return
+    # sizes that can link are one run of those that stand in a group
+    wide = int(rows["n"].max()) + 1
+    place = rows["group"][told] * wide + rows["n"][told]
+    base, n = rows["group"][asks] * wide, rows["n"][asks]
+    low = np.searchsorted(place, base + needed(n, percent))
+    high = np.searchsorted(place, base + np.minimum(100 * n // percent, wide - 1), "right")
+    until = np.cumsum(high - low)
+    cuts = np.unique(np.searchsorted(until, np.arange(0, until[-1] + PAIRS, PAIRS)))
+    for s, e in zip(cuts, [*cuts[1:], len(asks)]):
+        many = (high - low)[s:e]
+        i = np.repeat(asks[s:e], many)
+        j = told[np.repeat(low[s:e] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        a, b = rows["rep"][i], rows["rep"][j]
+        # of two rows that both ask, the one of the smaller id does
+        on = (rows["c"][i] != rows["c"][j]) & ((rows["c"][j] == rows["main"][j]) | (a < b))
+        i, j = i[on], j[on]
+        na, nb, oa, ob = rows["n"][i], rows["n"][j], rows["both"][i], rows["both"][j]
+        overlap = -(-percent * (na + nb) // (100 + percent))
+        # enough of each front is shared; two sets share at most what one shares with the leader, and all of the other that the leader lacks
+        on = np.minimum(rows["m"][i], rows["m"][j]) >= overlap - needed(np.maximum(na, nb), percent) + 1
+        on &= (oa < 0) | (ob < 0) | (np.minimum(na - oa + ob, nb - ob + oa) >= overlap)
+        i, j, total = i[on], j[on], (na + nb)[on]
+        most = np.zeros(len(i), np.int64)
+        for t in range(0, len(i), 1 << 16):
+            here = slice(t, t + (1 << 16))
+            most[here] = (total[here] - np.bitwise_count(bits[i[here]] ^ bits[j[here]]).sum(1, dtype=np.int64)) // 2
+        on = 100 * most >= percent * (total - most)
+        a, b = rows["rep"][i[on]], rows["rep"][j[on]]
+        found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        if len(found):
+            yield found[:, 0], found[:, 1]
+
+
+def _cross(lists: DataFrame, members: int, percent: int) -> DataFrame:
+    """The pairs (a, b), a < b, of a list's sets outside its ``main`` component
+    with those of other components that the bounds let pass. A row goes to the
+    band of its size, and asks there and in the two beside it; a list of more
+    than ``LIST_BLOCK`` sets is cut, and pairs of its blocks are formed apart."""
+    own = F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
+    what = ["list", "rep", "n", "m", "c", "main", F.coalesce("both", F.lit(-1)).cast("long").alias("both"), "bits"]
+    asking = lists.where("c <> main").select("*", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("_band"))
+    asking = asking.select(*what, F.col("_band").alias("band"), own.alias("i"), every.alias("j"), F.lit(True).alias("asks"))
+    told = lists.select(*what, "band", own.alias("j"), every.alias("i"), F.lit(False).alias("asks"))
+    spark = lists.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-4 * members // TASK_ROWS))
+    names = ["list", "band", "i", "j", "rep", "n", "m", "c", "main", "both"]
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, maps = [], []
+        for batch in batches:
+            if len(batch):
+                held.append([np.array(batch.column(c), np.int64) for c in names] + [np.array(batch.column("asks").to_numpy(zero_copy_only=False), bool)])
+                maps.append(np.array(batch.column("bits").flatten(), np.int64).view(np.uint64).reshape(len(batch), -1))
+        if not held:
+            return
+        rows = dict(zip([*names, "asks"], (np.concatenate(c) for c in zip(*held))))
+        bits = np.concatenate(maps)
+        del held, maps
+        keys = [rows.pop(c) for c in names[:4]]
+        order = np.lexsort(keys)
+        new = np.zeros(len(order), np.int64)
+        for k in keys:
+            new[1:] |= k[order][1:] != k[order][:-1]
+        rows["group"] = np.empty(len(order), np.int64)
+        rows["group"][order] = np.cumsum(new)
+        for a, b in crossing(rows, bits, percent):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    dealt = asking.unionByName(told).repartition(parts, "list", "band", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row for each row of ``df``: its id, ``n_shingles`` and ``component_id``,
     the smallest id that links of similarity ``percent`` / 100 or more lead to."""
@@ -380,18 +492,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = durable(placed)
     # of each list that spans components: every pair with at least one set outside its largest component
     sizes = placed.groupBy("list", "c").agg(F.count(F.lit(1)).alias("k"))
-    span = sizes.groupBy("list").agg(F.max(F.struct("k", "c")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("list", F.col("m.c").alias("main"))
+    span = sizes.groupBy("list").agg(F.max(F.struct("k", "c")).alias("m"), F.count(F.lit(1)).alias("parts"), F.ceil(F.sum("k") / LIST_BLOCK).cast("int").alias("g")).where("parts > 1").select("list", F.col("m.c").alias("main"), "g")
     open_lists = placed.join(span, "list").join(lead.select("list", (-F.col("l.o")).alias("leader")), "list").join(named.select("rep", "n", "m", "bits"), "rep")
     # what a set shares with its list's leader, as far as it was compared with it
     answers = compared.select(F.col("a").alias("leader"), F.col("b").alias("rep"), "both")
     open_lists = open_lists.join(answers, ["leader", "rep"], "left").withColumn("both", F.when(F.col("rep") == F.col("leader"), F.col("n")).otherwise(F.col("both"))).withColumn("band", _band(F.col("n"), percent))
-    minor = open_lists.where("c <> main").select("list", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("bits").alias("pa"), F.col("c").alias("ca"), F.col("both").alias("oa"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    other = open_lists.select("list", "band", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("bits").alias("pb"), F.col("c").alias("cb"), F.col("both").alias("ob"))
-    # two sets share at most what one shares with the leader, and all of the other that the leader lacks
-    derived = F.least(F.col("na") - F.col("oa") + F.col("ob"), F.col("nb") - F.col("ob") + F.col("oa"))
-    overlap = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
-    can = (F.col("ca") != F.col("cb")) & F.coalesce(derived >= overlap, F.lit(True)) & _may_link(percent, F.col("na"), F.col("nb"), F.col("ma"), F.col("mb")) & _bound(percent)
-    cross = minor.join(other, ["list", "band"]).where(can).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    cross = _cross(open_lists, members.count(), percent)
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = durable(cross.join(done, ["a", "b"], "left_anti"))
     sweep(spark)

@@ -501,3 +501,48 @@ def test_pipeline_mix_and_pack_keep_their_words(spark, docs):
     packed = P.pack(spark, docs, SF).toPandas()
     assert set(packed["doc_id"]) == set(docs.toPandas()["doc_id"])
     assert (packed.groupby("sequence_id")["length"].sum() <= 1024).all()
+
+
+def test_jaccard_order_puts_rare_words_first():
+    levels = np.zeros(jaccard.CELLS, np.uint8)
+    words = np.full(jaccard.WORD_CELLS, 8, np.uint8)
+    text = [b"a b c d e f g rare h i j k l m", b"A B c", b""]
+    for i in (0, 1, 2, 3, 4, 5, 6):
+        words[int(Words([text[0].split()[i]]).hash[0]) & (jaccard.WORD_CELLS - 1)] = 60
+    got = list(jaccard.ranked_sets(text, (levels, words)))
+    for (s, _), want in zip(got, jaccard.shingle_sets(text)):
+        assert s.tolist() == want.tolist()
+    s, rank = got[0]
+    # shingles without a frequent word come before those of five
+    assert set(s[np.argsort(rank)[:3]].tolist()) <= set(jaccard.shingle_sets([b"rare h i j k l m"])[0].tolist())
+    # a frequent shingle comes last, whatever its words
+    levels[int(s[np.argmin(rank)]) & (jaccard.CELLS - 1)] = 5
+    last = next(iter(jaccard.ranked_sets(text, (levels, words))))[1]
+    assert np.argmax(last) == np.argmin(rank)
+
+
+def test_jaccard_crossing_pairs_match_brute_force(monkeypatch):
+    monkeypatch.setattr(jaccard, "PAIRS", 50)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, k).astype(np.uint64)) for k in rng.integers(20, 40, 30)]
+    sets += [np.unique(np.append(s[: len(s) - int(rng.integers(0, 6))], s[:1])) for s in sets]
+    n = np.array([len(s) for s in sets])
+    m = rng.integers(0, 12, len(sets))
+    bits = np.stack([jaccard.parity(s) for s in sets]).view(np.uint64)
+    c, group = rng.integers(0, 20, len(sets)), rng.integers(0, 2, len(sets))
+    both = np.where(rng.random(len(sets)) < 0.5, -1, rng.integers(0, 20, len(sets)))
+    main = np.zeros(len(sets), np.int64)
+    want = set()
+    for i in range(len(sets)):
+        for j in range(i):
+            need = -(-75 * (n[i] + n[j]) // 175)
+            most = (n[i] + n[j] - sum(bin(int(x) ^ int(y)).count("1") for x, y in zip(bits[i], bits[j]))) // 2
+            ok = group[i] == group[j] and c[i] != c[j] and (c[i] or c[j]) and 100 * min(n[i], n[j]) >= 75 * max(n[i], n[j])
+            ok = ok and min(m[i], m[j]) >= need - (-(-75 * max(n[i], n[j]) // 100) - 1) and 100 * most >= 75 * (n[i] + n[j] - most)
+            if ok and (min(both[i], both[j]) < 0 or min(n[i] - both[i] + both[j], n[j] - both[j] + both[i]) >= need):
+                want.add((j, i))
+    asks = np.flatnonzero(c != 0)
+    rows = {k: np.concatenate([v[asks], v]) for k, v in {"rep": np.arange(len(sets)), "n": n, "m": m, "c": c, "main": main, "both": both, "group": group}.items()}
+    rows["asks"] = np.arange(len(asks) + len(sets)) < len(asks)
+    got = {p for a, b in jaccard.crossing(rows, np.concatenate([bits[asks], bits]), 75) for p in zip(a.tolist(), b.tolist())}
+    assert want and got == want

@@ -13,7 +13,10 @@ The height is measured for each length of vectors on the drawn code, by random
 pairs at the threshold's angle: they share ``shared`` filters on average, and at
 most ``MISSED`` of them share none. The number of filters grows with the number
 of vectors, which keeps caps small. Equal vectors are one class and are decoded
-once. A cap with more than ``BLOCK`` vectors is cut into blocks, and pairs of
+once; with their filters they are kept in the shared folder. A vector is sent
+once for each word of the first half in its filters, and what all vectors send
+is dealt to rounds of about the input's size, of which only one lies on the
+disks at a time. A cap with more than ``BLOCK`` vectors is cut into blocks, and pairs of
 blocks are compared in different tasks. A pair that shares several filters
 counts in the first of them. No pairs leave a task: it returns, for each
 vector, the number of its links and one link to its local component.
@@ -26,7 +29,8 @@ An empty table gives an empty result. Columns that are not named are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from math import ceil, sqrt
 
 import numpy as np
@@ -35,8 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from .common import arrow_rows, durable, frugal, join_small
+from .common import arrow_rows, durable, forget, frugal, sweep
 from .components import components
+from .grams import mix64
 
 #: Vectors of a cap that are compared in one piece at most.
 BLOCK = 1_000
@@ -46,6 +51,8 @@ PAIRS = 1_000
 MISSED = 0.001
 #: Bytes that a task of caps holds, about.
 PART_BYTES = 80_000_000
+#: Bytes of vectors that one round of comparisons sends; those of all vectors, if these are more.
+ROUND_BYTES = 256_000_000
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -163,6 +170,31 @@ def compare(key_filter: int, ids: np.ndarray, side: np.ndarray, count: np.ndarra
     return links, root
 
 
+def _flat(batch: pa.RecordBatch, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of decoded vectors: their lengths; all their filters, and the row of each."""
+    lists = [np.frombuffer(b, kind) for b in batch.column("fs").to_pylist()]
+    flat = np.concatenate(lists) if lists else np.zeros(0, kind)
+    return batch.column("dim").to_numpy(), flat, np.repeat(np.arange(len(lists)), [len(f) for f in lists])
+
+
+def _firsts(word: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which are the first of their word and row, in sorted lists."""
+    out = np.ones(len(word), bool)
+    out[1:] = (word[1:] != word[:-1]) | (row[1:] != row[:-1])
+    return out
+
+
+def _pieces(f: np.ndarray, cuts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """In how many blocks the cap of each filter is cut, by the sorted filters of cut caps."""
+    names, blocks = cuts
+    out = np.ones(len(f), np.int64)
+    if len(names):
+        at = np.minimum(np.searchsorted(names, f), len(names) - 1)
+        hit = names[at] == f
+        out[hit] = blocks[at[hit]]
+    return out
+
+
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, shared: float = 40.0, seed: int = 23) -> DataFrame:
     """One row for each row of ``df``: its id, ``n_links``, ``component_id`` and ``kept``."""
     spark = df.sparkSession
@@ -178,6 +210,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     # one row for each length of vectors
     heights = {r["d"]: cap_height(r["d"], k, threshold, shared, seed) for r in classes.select(F.size("_v").alias("d")).distinct().collect()}
 
+    kind = np.int32 if k * k < 1 << 31 else np.int64
+
     @frugal
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, Code] = {}
@@ -187,46 +221,88 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             flat = vectors.flatten().to_numpy()
             starts = np.concatenate([[0], np.cumsum(sizes)])
             for dim in np.unique(sizes):
-                code = codes.setdefault(int(dim), Code(int(dim), k, heights[int(dim)], seed))
+                if int(dim) not in codes:
+                    codes[int(dim)] = Code(int(dim), k, heights[int(dim)], seed)
+                code = codes[int(dim)]
                 at = np.flatnonzero(sizes == dim)
                 raw = np.stack([flat[starts[i] : starts[i + 1]] for i in at])
                 lists = code.decode(unit(raw))
-                every = np.concatenate(lists)
-                packed = [f.astype(np.int32 if k * k < 1 << 31 else np.int64).tobytes() for f in lists]
-                per = [len(f) for f in lists]
-                src = np.repeat(np.arange(len(at)), per)
-                if not len(src):
-                    continue
-                for s in range(0, len(src), 20_000):
-                    part = src[s : s + 20_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(every[s : s + 20_000]),
-                            pa.array(np.full(len(part), dim, np.int32)),
-                            batch.column(1).take(pa.array(at[part])),
-                            batch.column(2).take(pa.array(at[part])),
-                            pa.array([raw[i].tobytes() for i in part], pa.binary()),
-                            pa.array([packed[i] for i in part], pa.binary()),
-                        ],
-                        names=["f", "dim", "rep", "m", "x", "fs"],
-                    )
-
-    caps = classes.mapInArrow(decode, "f long, dim int, rep long, m long, x binary, fs binary")
-    loads = caps.groupBy("f", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    loads = durable(loads.withColumn("g", F.ceil(F.col("n") / BLOCK).cast("int")))
-    many = join_small(caps, loads, ["f", "dim"])
-    # few partitions leave rows of a vector side by side, which packs them well; more, where a task could not hold its vectors
-    load = loads.agg(F.sum(F.col("n") * F.col("g")).alias("rows"), F.sum("n").alias("n"), F.max("dim").alias("dim")).first()
-    total = load["rows"] or 0
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(at), dim, np.int32)),
+                        batch.column(1).take(pa.array(at)),
+                        batch.column(2).take(pa.array(at)),
+                        pa.array([x.tobytes() for x in raw], pa.binary()),
+                        pa.array([f.astype(kind).tobytes() for f in lists], pa.binary()),
+                    ],
+                    names=["dim", "rep", "m", "x", "fs"],
+                )
+
+    # a vector and its filters lie in the shared folder once
+    decoded = durable(classes.mapInArrow(decode, "dim int, rep long, m long, x binary, fs binary"))
+
+    @frugal
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, flat, row = _flat(batch, kind)
+            for dim in np.unique(dims):
+                here = flat[dims[row] == dim]
+                f, c = np.unique(here, return_counts=True)
+                # besides, how often its vectors travel: once a word of the first half
+                sent = _firsts(here // k, row[dims[row] == dim]).sum()
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(f, -1), pa.int64()), pa.array(np.full(len(f) + 1, dim, np.int32)), pa.array(np.append(c, sent), pa.int64())], names=["f", "dim", "c"])
+
+    loads = durable(decoded.select("dim", "fs").mapInArrow(count, "f long, dim int, c long").groupBy("f", "dim").agg(F.sum("c").alias("n")))
+    big = loads.where(f"f >= 0 and n > {BLOCK}").withColumn("g", F.ceil(F.col("n") / BLOCK).cast("int")).select("f", "dim", "g", "n").toArrow()
+    cut = {}
+    for dim in heights:
+        at = np.flatnonzero(big.column("dim").to_numpy() == dim)
+        f, g = (big.column(c).to_numpy()[at].astype(np.int64) for c in ("f", "g"))
+        cut[dim] = f[np.argsort(f)], g[np.argsort(f)]
+    sent = spark.sparkContext.broadcast(cut)
+    whole = loads.agg(F.sum(F.when(F.col("f") < 0, F.col("n"))).alias("rows"), F.sum(F.when(F.col("f") >= 0, F.col("n"))).alias("n"), F.max("dim").alias("dim")).first()
+    total = (whole["rows"] or 0) + int((big.column("g").to_numpy() * big.column("n").to_numpy()).sum())
+    listed = (4 if single else 8) * (whole["dim"] or 0) + np.dtype(kind).itemsize * (whole["n"] or 0) / max(1, n)
+    rounds = max(1, ceil(total * (listed + 40) / max(ROUND_BYTES, n * listed)))
+    # more partitions, where a task could not hold its vectors
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    vector_bytes = 400 + (4 if single else 8) * (load["dim"] or 0) + (4 if k * k < 1 << 31 else 8) * (load["n"] or 0) / max(1, n)
-    while min(n, total / parts) * vector_bytes + total / parts * 48 > PART_BYTES:
+    while min(n, total / rounds / parts) * (listed + 400) > PART_BYTES:
         parts *= 2
-    own = F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")
-    # a vector of a cut cap goes to each pair of blocks that has its own
-    blocks = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-    dealt = many.withColumn("_b", F.explode(blocks)).select("f", "dim", F.col("_b.i").alias("i"), F.col("_b.j").alias("j"), F.when(F.col("_b.i") == F.col("_b.j"), 0).otherwise((own == F.col("_b.j")).cast("int")).alias("side"), "rep", "m", "x", "fs")
-    dealt = dealt.repartition(parts, "f", "dim", "i", "j")
+
+    def emit(turn: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """The rows of a round: a vector for each word of the first half of its
+        filters, and for each pair of blocks of a cut cap that has its own."""
+
+        @frugal
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                dims, flat, row = _flat(batch, kind)
+                reps = batch.column("rep").to_numpy()
+                for dim in np.unique(dims):
+                    on = dims[row] == dim
+                    f, r = flat[on].astype(np.int64), row[on]
+                    pieces = _pieces(f, sent.value[int(dim)])
+                    light = pieces == 1
+                    word, at = f[light] // k, r[light]
+                    first = _firsts(word, at)
+                    none = np.full(int(first.sum()), -1, np.int64)
+                    cols = [[word[first], none, none, np.zeros_like(none), at[first]]]
+                    if not light.all():
+                        f, at, g = f[~light], r[~light], pieces[~light]
+                        own = np.repeat((mix64(reps[at].astype(np.uint64)) % g.astype(np.uint64)).astype(np.int64), g)
+                        other = np.arange(g.sum()) - np.repeat(np.cumsum(g) - g, g)
+                        i, j = np.minimum(own, other), np.maximum(own, other)
+                        cols.append([np.repeat(f, g), i, j, ((i != j) & (own == j)).astype(np.int64), np.repeat(at, g)])
+                    f, i, j, side, at = (np.concatenate(c) for c in zip(*cols))
+                    mine = mix64((f * 1_000_003 + i * 1_009 + j).astype(np.uint64)) % np.uint64(rounds) == turn
+                    f, i, j, side, at = (c[mine] for c in (f, i, j, side, at))
+                    order = np.argsort(at, kind="stable")
+                    for s in range(0, len(at), 5_000):
+                        o = order[s : s + 5_000]
+                        take = pa.array(at[o])
+                        yield pa.RecordBatch.from_arrays([pa.array(c[o]) for c in (f, i, j, side)] + [pa.array(np.full(len(o), dim, np.int32)), *(batch.column(c).take(take) for c in ("rep", "m", "x", "fs"))], names=["f", "i", "j", "side", "dim", "rep", "m", "x", "fs"])
+
+        return run
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,10 +319,25 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                 if rep not in place:
                     place[rep] = len(held)
                     held.append((np.frombuffer(batch.column("x")[i].as_py(), np.float32 if single else np.float64), batch.column("m")[i].as_py()))
-                    fs.append(np.frombuffer(batch.column("fs")[i].as_py(), np.int32 if k * k < 1 << 31 else np.int64))
-            keys.append(batch.column("f").to_numpy().copy())
-            cells.append(np.stack([batch.column(c).to_numpy() for c in ("dim", "i", "j", "side")]))
-            at.append(np.array([place[rep] for rep in reps.tolist()], np.int32)[back])
+                    fs.append(np.frombuffer(batch.column("fs")[i].as_py(), kind))
+            own = np.array([place[rep] for rep in reps.tolist()], np.int32)[back]
+            f, i, j, side, dims = (batch.column(c).to_numpy().astype(np.int64) for c in ("f", "i", "j", "side", "dim"))
+            heavy = i >= 0
+            if heavy.any():
+                keys.append(f[heavy])
+                cells.append(np.stack([dims[heavy], i[heavy], j[heavy], side[heavy]]))
+                at.append(own[heavy])
+            # the filters of a vector that have the row's word
+            for dim in np.unique(dims[~heavy]):
+                rows = np.flatnonzero(~heavy & (dims == dim))
+                low = [np.searchsorted(fs[o], (w * k, w * k + k)) for o, w in zip(own[rows].tolist(), f[rows].tolist())]
+                many = np.array([e - s for s, e in low])
+                got = np.concatenate([fs[o][s:e] for o, (s, e) in zip(own[rows].tolist(), low)]).astype(np.int64)
+                alone = _pieces(got, sent.value[int(dim)]) == 1
+                keys.append(got[alone])
+                none = np.zeros(int(alone.sum()), np.int64)
+                cells.append(np.stack([none + dim, none, none, none]))
+                at.append(np.repeat(own[rows], many)[alone])
         if not keys:
             return
         ids, count = np.fromiter(place, np.int64, len(place)), np.array([m for _, m in held])
@@ -265,7 +356,16 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             if on.any():
                 yield pa.RecordBatch.from_arrays([pa.array(ids[here][on]), pa.array(links[on]), pa.array(root[on])], names=["rep", "links", "root"])
 
-    found = durable(dealt.mapInArrow(run, "rep long, links long, root long").groupBy("rep", "root").agg(F.sum("links").alias("links")))
+    # a round's shuffle is deleted before the next one is written
+    found = []
+    for turn in range(rounds):
+        dealt = decoded.mapInArrow(emit(turn), "f long, i long, j long, side long, dim int, rep long, m long, x binary, fs binary").repartition(parts, "f", "dim", "i", "j")
+        found.append(durable(dealt.mapInArrow(run, "rep long, links long, root long").groupBy("rep", "root").agg(F.sum("links").alias("links"))))
+        del dealt
+        if rounds > 1:
+            sweep(spark)
+    forget(decoded)
+    found = reduce(DataFrame.unionByName, found)
     degree = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found, "rep", "root")
     classes = classes.join(degree, "rep", "left").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from larkspur.llm import caps, components, jaccard, langid, lm, mixing, packing, pii, quality, sketch, tokens
+from larkspur.llm.common import durable
 from larkspur.llm.grams import Words
 
 SF = "/root/testdata/sf0.001"
@@ -546,3 +547,21 @@ def test_jaccard_crossing_pairs_match_brute_force(monkeypatch):
     rows["asks"] = np.arange(len(asks) + len(sets)) < len(asks)
     got = {p for a, b in jaccard.crossing(rows, np.concatenate([bits[asks], bits]), 75) for p in zip(a.tolist(), b.tolist())}
     assert want and got == want
+
+
+def test_cap_rounds_send_a_part_each(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    near = rng.normal(size=32) + rng.normal(size=(70, 32)) * 0.3
+    x = np.concatenate([near, rng.normal(size=(200, 32))]).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    wrote = []
+    monkeypatch.setattr(caps, "durable", lambda df: wrote.append(df.columns) or durable(df))
+    monkeypatch.setattr(caps, "ROUND_BYTES", 1_000_000)
+    monkeypatch.setattr(caps, "BLOCK", 20)
+    got = caps.near_duplicates(rows).toPandas().sort_values("vec_id")
+    u = caps.unit(x)
+    hit = u @ u.T >= 0.9
+    np.fill_diagonal(hit, False)
+    assert got["n_links"].tolist() == hit.sum(1).tolist()
+    assert got["component_id"].tolist() == smallest(hit, list(range(len(x)))).tolist()
+    assert hit.any() and wrote.count(["rep", "root", "links"]) > 1

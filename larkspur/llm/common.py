@@ -6,6 +6,7 @@ import ctypes
 import gc
 import sys
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
@@ -13,6 +14,7 @@ from functools import wraps
 from pathlib import Path
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ ARROW_ROWS = 1_000
 #: Bytes of an Arrow batch at most, but for one row.
 ARROW_BYTES = 4 << 20
 
+#: Seconds between two times that the driver's free native memory is given back.
+TRIM_S = 2.0
 #: Bytes of texts that a numpy step takes at once, about.
 TEXT_BYTES = 1 << 20
 
@@ -47,6 +51,8 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/larkspur-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if time.monotonic() - _TRIMMED[0] >= TRIM_S:
+        trim_driver(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -142,9 +148,30 @@ def sweep(spark: SparkSession) -> None:
     memory is the machine's again. For between steps of many jobs."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim_driver(spark)
     give_back()
 
 
+_TRIMMED = [0.0]
+
+
+def trim_driver(spark: SparkSession) -> None:
+    """What the driver's JVM has freed of its native memory is the machine's
+    again, where the JVM can do it (Linux, Java 17.0.9 or later). Each of a driver's
+    hundreds of threads allocates apart, so what libc keeps of plans that were
+    compiled and of jobs that ran grows with their number, beside the heap."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    _TRIMMED[0] = time.monotonic()
+    # the server's own class is closed to Py4J, its interface is not
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    args = context._gateway.new_array(jvm.java.lang.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JJavaError:
+        pass
+
+
 def give_back() -> None:
     """Free memory of this process is the machine's again, where libc can do it."""
     pa.default_memory_pool().release_unused()

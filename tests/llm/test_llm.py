@@ -2,9 +2,11 @@
 accuracy, and their defined edge cases, on small tables."""
 
 import collections
+import gc
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from larkspur.llm import caps, components, jaccard, langid, lm, mixing, packing, pii, quality, sketch, tokens
-from larkspur.llm.common import durable
+from larkspur.llm.common import durable, sweep
 from larkspur.llm.grams import Words
 
 SF = "/root/testdata/sf0.001"
@@ -565,3 +567,23 @@ def test_cap_rounds_send_a_part_each(spark, monkeypatch):
     assert got["n_links"].tolist() == hit.sum(1).tolist()
     assert got["component_id"].tolist() == smallest(hit, list(range(len(x)))).tolist()
     assert hit.any() and wrote.count(["rep", "root", "links"]) > 1
+
+
+def test_sweep_gives_back_native_memory_of_the_driver(spark):
+    jvm = spark.sparkContext._jvm
+    held = [jvm.java.nio.ByteBuffer.allocateDirect(1 << 16) for _ in range(2400)]
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+
+    def resident():
+        with open(f"/proc/{pid}/smaps_rollup") as f:
+            return sum(int(n) for n in re.findall(r"\nPss_Anon:\s+(\d+)", f.read()))
+
+    # every 40th buffer stays, so that libc keeps what lies between
+    held = held[::40]
+    gc.collect()
+    jvm.System.gc()
+    time.sleep(2)
+    before = resident()
+    sweep(spark)
+    time.sleep(0.5)
+    assert len(held) == 60 and before - resident() > 50_000

@@ -18,9 +18,13 @@ its add-one share (c(w) + 1) / (N_k + V_k + 1), with one further place for unsee
 words. Both factors are normalised by batched matrix products, so the
 probabilities of all tokens sum to 1.
 
-Both factors are trained by noise-contrastive estimation, with unigram noise, in
-one task, on trigrams drawn from the whole training part by a hash of text and
-place: ``DRAWS`` times the root of its tokens, which grows with the corpus.
+Both factors are trained by noise-contrastive estimation, with unigram noise, on
+every trigram of the training part. A start is trained in one task on trigrams
+drawn by hashes of text and place, ``DRAWS`` times the root of the tokens, which also
+deal the classes. From it each task goes on with all trigrams of its rows, in
+batches that share their noise, and the tasks' vectors are averaged, each by how
+often the task saw what it stands for. A training part that is drawn whole is
+trained on in one task.
 
 Counts of words are kept in a table; the ``top`` most frequent short words (a
 bounded table) are looked up in each task, and only the other words of a
@@ -64,6 +68,14 @@ MARKS = 512
 COUNT_WORDS = 500_000
 TOP_WORDS = 300_000
 TOP_BYTES = 64
+#: Texts that are looked into for each one that as many trigrams as are drawn would fill.
+TEXTS = 4
+#: Tokens that a task mixes, those of a step, those that share their noise, and how
+#: many noise classes these have; noise words that the tokens of a class share in a step.
+MIXED, STEP, SHARE, CLASS_NOISE, WORD_NOISE = 1 << 17, 1 << 13, 512, 32, 16
+#: Tasks that train, for each core at most, tokens of each at least, about; rows of a
+#: model that are averaged together.
+TRAINERS, TASK_TOKENS, MODEL_ROWS = 4, 500_000, 4_096
 #: Tokens that are compared with all classes at once.
 ROWS = 1_024
 #: Bytes of text whose tokens are scored together, about.
@@ -162,6 +174,8 @@ class Model:
     share: np.ndarray
     first: int
     members: list[np.ndarray]
+    #: vectors, matrices and the sums of squared gradients, to train on from
+    state: list[np.ndarray] | None = None
 
     def guess(self, two: np.ndarray, one: np.ndarray) -> np.ndarray:
         return self.near[one] + self.far[two]
@@ -313,14 +327,190 @@ def train(two: np.ndarray, one: np.ndarray, number: np.ndarray, size: int, dim:
             g = np.stack([vectors[v].T @ back, vectors[u].T @ back])
             move(0, np.concatenate([v, u]), np.concatenate([back @ mixes[0].T, back @ mixes[1].T]), vectors)
             move(1, None, g / len(w), mixes)
-    return Model(vectors @ mixes[0], vectors @ mixes[1], out, bias, words, word_bias, share, single, members)
+    return Model(vectors @ mixes[0], vectors @ mixes[1], out, bias, words, word_bias, share, single, members, [vectors, mixes, *squares])
+
+
+class Trainer:
+    """Training of a model on, by batches whose tokens share their noise; ``freq``
+    are the counts of all numbers in the whole training part."""
+
+    RATE = 0.06
+
+    def __init__(self, lm: Model, freq: np.ndarray, seed: int = 3) -> None:
+        vectors, mixes, *squares = lm.state
+        self.lm, self.rng = lm, np.random.default_rng(seed)
+        self.tables = [x.copy() for x in (vectors, mixes, lm.out, lm.bias, lm.words, lm.word_bias)]
+        self.squares = [x.copy() for x in squares]
+        freq = freq + 1.0
+        self.per = np.bincount(lm.share, weights=freq, minlength=len(lm.out))
+        self.until = np.cumsum(self.per) / self.per.sum()
+        self.log_class = np.log(CLASS_NOISE * self.per / self.per.sum()).astype(np.float32)
+        self.log_word = np.log(WORD_NOISE * freq / self.per[lm.share]).astype(np.float32)
+        self.inside = [np.cumsum(freq[own]) for own in lm.members]
+        #: how often each number was a token, and stood before one
+        self.seen, self.before = np.zeros(len(vectors), np.int64), np.zeros(len(vectors), np.int64)
+
+    def _move(self, k: int, at: np.ndarray | slice, g: np.ndarray) -> None:
+        self.squares[k][at] += g * g
+        self.tables[k][at] += self.RATE * g / np.sqrt(self.squares[k][at])
+
+    def _right(self, q: np.ndarray, k: int, right: np.ndarray, log_noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What flows back into ``q`` from each token's own row, and its slope."""
+        own = self.tables[k][right]
+        up = np.einsum("nd,nd->n", q, own) + (self.tables[k + 1][right] - log_noise[right])
+        up = 1 / (1 + np.exp(np.clip(up, -30, 30)))
+        return up[:, None] * own, up
+
+    def _wrong(self, q: np.ndarray, k: int, wrong: np.ndarray, log_noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same from noise that all of ``q`` share: slopes of each pair."""
+        noise = self.tables[k][wrong]
+        down = q @ noise.T
+        down += self.tables[k + 1][wrong] - log_noise[wrong]
+        np.clip(down, -30, 30, out=down)
+        np.negative(down, out=down)
+        np.exp(down, out=down)
+        down += 1
+        np.divide(-1, down, out=down)
+        return down @ noise, down
+
+    def step(self, two: np.ndarray, one: np.ndarray, number: np.ndarray) -> None:
+        vectors, mixes = self.tables[:2]
+        lm = self.lm
+        k = lm.share[number]
+        order = np.argsort(k.astype(np.uint16) if len(self.per) <= 1 << 16 else k, kind="stable")
+        u, v, w, k = two[order], one[order], number[order], k[order]
+        a, b = vectors[v], vectors[u]
+        q = a @ mixes[0]
+        q += b @ mixes[1]
+        back, up = self._right(q, 2, k, self.log_class)
+        # the tokens stand by their classes
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        out, bias = np.zeros_like(self.tables[2]), np.zeros_like(self.tables[3])
+        out[k[starts]] = np.add.reduceat(up[:, None] * q, starts, 0)
+        bias[k[starts]] = np.add.reduceat(up, starts)
+        blocks = -(-len(k) // SHARE)
+        for i, wrong in enumerate(np.minimum(np.searchsorted(self.until, self.rng.random((blocks, CLASS_NOISE))), len(self.per) - 1)):
+            here = q[i::blocks]
+            more, down = self._wrong(here, 2, wrong, self.log_class)
+            back[i::blocks] += more
+            np.add.at(out, wrong, down.T @ here)
+            np.add.at(bias, wrong, down.sum(0))
+        self._move(2, slice(None), out)
+        self._move(3, slice(None), bias)
+        cuts = np.append(starts, len(k))
+        places, moved, slopes = [], [], []
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            i = int(k[s]) - lm.first
+            if not 0 <= i < len(lm.members) or len(lm.members[i]) < 2:
+                continue
+            own, inside = lm.members[i], self.inside[i]
+            wrong = own[np.minimum(np.searchsorted(inside, self.rng.random(WORD_NOISE) * inside[-1], "right"), len(own) - 1)]
+            here = q[s:e]
+            own_back, up = self._right(here, 4, w[s:e], self.log_word)
+            more, down = self._wrong(here, 4, wrong, self.log_word)
+            back[s:e] += own_back
+            back[s:e] += more
+            places += [w[s:e], wrong]
+            moved += [up[:, None] * here, down.T @ here]
+            slopes += [up, down.sum(0)]
+        if places:
+            g, at = _spread(np.concatenate([np.concatenate(moved), np.concatenate(slopes)[:, None]], 1), np.concatenate(places), len(vectors))
+            self._move(4, at, g[:, :-1])
+            self._move(5, at, g[:, -1])
+        turned = np.stack([a.T @ back, b.T @ back]) / np.float32(len(w))
+        g, at = _spread(np.concatenate([back @ mixes[0].T, back @ mixes[1].T]), np.concatenate([v, u]), len(vectors))
+        self._move(0, at, g)
+        self._move(1, slice(None), turned)
+        self.seen += np.bincount(number, minlength=len(vectors))
+        self.before += np.bincount(np.concatenate([one, two]), minlength=len(vectors))
+
+    def train(self, two: np.ndarray, one: np.ndarray, number: np.ndarray) -> None:
+        """All the trigrams, once each, in a drawn order."""
+        order = self.rng.permutation(len(number))
+        for s in range(0, len(order), STEP):
+            at = order[s : s + STEP]
+            self.step(two[at], one[at], number[at])
+
+    def parts(self) -> Iterator[tuple[int, int, bytes, bytes]]:
+        """(table, block, rows, weights) of what was trained, biases beside their rows."""
+        vectors, mixes, out, bias, words, word_bias = self.tables
+        classes = np.bincount(self.lm.share, weights=self.seen, minlength=len(out))
+        tables = [
+            (vectors, self.before),
+            (mixes.reshape(2, -1), np.full(2, self.seen.sum())),
+            (np.column_stack([out, bias]), classes),
+            (np.column_stack([words, word_bias]), self.seen),
+        ]
+        for k, (x, weight) in enumerate(tables):
+            # what was only noise here counts little
+            weight = weight + 1e-3
+            for s in range(0, len(x), MODEL_ROWS):
+                yield k, s // MODEL_ROWS, x[s : s + MODEL_ROWS].astype(np.float32).tobytes(), weight[s : s + MODEL_ROWS].tobytes()
+
+
+def averaged(lm: Model, parts: list[tuple[int, int, bytes]]) -> Model:
+    """The model of the averages of all blocks (table, block, rows)."""
+    vectors, mixes = lm.state[:2]
+    shapes = [vectors.shape[1], mixes[0].size, lm.out.shape[1] + 1, lm.words.shape[1] + 1]
+    tables = [np.concatenate([np.frombuffer(b, np.float32).reshape(-1, shapes[k]) for t, _, b in sorted(parts, key=lambda p: p[:2]) if t == k]) for k in range(4)]
+    mixes = tables[1].reshape(mixes.shape)
+    return Model(tables[0] @ mixes[0], tables[0] @ mixes[1], tables[2][:, :-1].copy(), tables[2][:, -1].copy(), tables[3][:, :-1].copy(), tables[3][:, -1].copy(), lm.share, lm.first, lm.members)
+
+
+def _train_on(df: DataFrame, text_col: str, places: Mapping[bytes, int], size: int, start: Model, freq: np.ndarray) -> Model:
+    """``start`` trained on with all trigrams of the texts, once each, each task
+    with those of its rows; blocks of the model are averaged in tasks of their own."""
+    context = df.sparkSession.sparkContext
+    sent = context.broadcast((places, start, freq))
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, start, freq = sent.value
+        trainer = Trainer(start, freq)
+        held, count = [], 0
+
+        def flush() -> None:
+            trainer.train(*(np.concatenate(x) for x in zip(*held)))
+            held.clear()
+
+        for batch in batches:
+            for _, texts in by_bytes(batch.column(0).to_pylist(), SCORE_BYTES):
+                number, owner, _, _ = token_numbers([t.lower() for t in texts], places, size)
+                held.append((*contexts(number, owner, size + SHAPES), number))
+                count += len(number)
+                if count >= MIXED:
+                    flush()
+                    count = 0
+        if held:
+            flush()
+        if not trainer.seen.any():
+            return
+        task = TaskContext.get().partitionId()
+        for k, block, x, weight in trainer.parts():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block], pa.int32()), pa.array([task], pa.int32()), pa.array([x], pa.binary()), pa.array([weight], pa.binary())], names=["k", "block", "task", "x", "weight"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total, mass = 0.0, 0.0
+        for r in pdf.sort_values("task").itertuples():
+            weight = np.frombuffer(r.weight)
+            total = total + np.frombuffer(r.x, np.float32).reshape(len(weight), -1) * weight[:, None]
+            mass = mass + weight
+        return pd.DataFrame({"k": pdf["k"][:1], "block": pdf["block"][:1], "x": [(total / mass[:, None]).astype(np.float32).tobytes()]})
+
+    # so many copies of the model are passed on as there are tasks
+    tasks = df.select(text_col).coalesce(max(1, min(TRAINERS * context.defaultParallelism, int(freq.sum()) // TASK_TOKENS)))
+    trained = tasks.mapInArrow(run, "k int, block int, task int, x binary, weight binary")
+    got = trained.groupBy("k", "block").applyInPandas(add, "k int, block int, x binary").collect()
+    return averaged(start, [(r["k"], r["block"], bytes(r["x"])) for r in got])
 
 
 def _draws(df: DataFrame, text_col: str, places: Mapping[bytes, int], size: int, rate: float) -> DataFrame:
     """Trigrams of token numbers of the texts, packed, each with chance ``rate``
-    by a hash of its text and place."""
+    by a hash of its text and place; of few, those of some texts only."""
     sent = df.sparkSession.sparkContext.broadcast(places)
-    cut = np.uint32(min(rate, 1.0) * 0xFFFFFFFF)
+    some = min(1.0, TEXTS * rate)
+    cut = np.uint32(min(rate / some, 1.0) * 0xFFFFFFFF) if rate else np.uint32(0)
+    df = df.where(F.pmod(F.xxhash64(text_col), F.lit(1_000_000)) < ceil(some * 1_000_000))
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,25 +531,34 @@ def _draws(df: DataFrame, text_col: str, places: Mapping[bytes, int], size: int,
     return df.select(text_col).mapInArrow(run, "grams binary")
 
 
-def learn(df: DataFrame, text_col: str, words: list[bytes], tokens: int) -> Model:
+def learn(df: DataFrame, text_col: str, words: list[bytes], tokens: int, freq: np.ndarray) -> Model:
     """The model of the texts, whose number of tokens is given, over ``words``;
-    it is trained in one task and comes back as arrays."""
+    ``freq`` counts the tokens of each number. The model comes back as arrays."""
     size = len(words)
-    grams = _draws(df, text_col, {w: i for i, w in enumerate(words)}, size, DRAWS * sqrt(tokens) / max(1, tokens))
+    places = {w: i for i, w in enumerate(words)}
+    rate = DRAWS * sqrt(tokens) / max(1, tokens)
+    grams = _draws(df, text_col, places, size, rate)
+    # all trigrams follow after a start that is not of all
+    whole = rate >= 1
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = np.concatenate([np.frombuffer(g, np.int32).reshape(-1, 3) for g in pdf["grams"]])
         # one order, whatever the order of the rows
         found = found[np.lexsort(found.T)]
-        model = train(found[:, 0].copy(), found[:, 1].copy(), found[:, 2].copy(), size)
+        model = train(found[:, 0].copy(), found[:, 1].copy(), found[:, 2].copy(), size, passes=2 if whole else 1)
+        if whole:
+            model.state = None
         give_back()
         return pd.DataFrame({"model": [pickle.dumps(model)]})
 
     got = grams.groupBy(F.lit(0).alias("_all")).applyInPandas(run, "model binary").collect()
     if got:
-        return pickle.loads(got[0]["model"])
+        start = pickle.loads(got[0]["model"])
+        return start if whole else _train_on(df, text_col, places, size, start, freq)
     none = np.zeros(0, np.int32)
     model = train(none, none, none, size)
+    if tokens:
+        return _train_on(df, text_col, places, size, model, freq)
     model.out[:], model.bias[:] = 0, 0
     return model
 
@@ -396,7 +595,7 @@ def score(
         kinds[word_shape(w)] -= 1
     # what a token's count is divided by: its group's places; nothing for the end; its own count for a word of the vocabulary
     inner = np.concatenate([np.log10(freq[:size] + 1), np.log10(mass + kinds + 1), [0.0]])
-    lm = learn(training, text_col, words[:size], n_all)
+    lm = learn(training, text_col, words[:size], n_all, np.concatenate([freq[:size], mass, [n_docs]]))
     model = spark.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, np.log10(freq + 1), lm, inner))
     unit, end_value = log10(n_all + v_all + 1), log10(n_docs + 1)
     id_type = df.schema[id_col].dataType.simpleString()

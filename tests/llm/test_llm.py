@@ -301,6 +301,40 @@ def test_bilinear_model_learns_what_follows():
     assert gain > 0.5
 
 
+def test_language_model_trains_on_all_trigrams(spark, monkeypatch):
+    # hardly anything is drawn for the start
+    monkeypatch.setattr(lm, "DRAWS", 5.0)
+    monkeypatch.setattr(lm, "TASK_TOKENS", 100_000)
+    d = lm.score(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").repartition(4)).toPandas()
+    held = d[d["held_out"]]
+    assert (held["score"].sum() - held["base_score"].sum()) / held["n_tokens"].sum() > 0.15
+
+
+def test_training_on_sees_each_trigram_once():
+    rng = np.random.default_rng(5)
+    size = 400
+    n = size + lm.SHAPES + 1
+    one = rng.integers(0, n, 40_000)
+    number = (one * 7 + rng.integers(0, 3, len(one))) % n
+    two = np.zeros_like(one)
+    start = lm.train(two[:4000], one[:4000], number[:4000], size, passes=1)
+    freq = np.bincount(number, minlength=n)
+    parts = {}
+    for i in range(2):
+        trainer = lm.Trainer(start, freq)
+        for _ in range(3):
+            trainer.train(two[i::2], one[i::2], number[i::2])
+        assert trainer.seen.sum() == 3 * len(number[i::2])
+        assert (trainer.seen == 3 * np.bincount(number[i::2], minlength=n)).all()
+        for k, block, x, weight in trainer.parts():
+            parts.setdefault((k, block), []).append((np.frombuffer(x, np.float32).reshape(len(weight) // 8, -1), np.frombuffer(weight)))
+    mean = [(k, b, (sum(x * w[:, None] for x, w in p) / sum(w for _, w in p)[:, None]).astype(np.float32).tobytes()) for (k, b), p in parts.items()]
+    model = lm.averaged(start, mean)
+    assert model.log10(two, one, number).mean() > start.log10(two, one, number).mean() + 0.1
+    logs = model.log10(np.zeros(n, int), np.full(n, 7), np.arange(n))
+    assert math.isclose((10.0**logs).sum(), 1, rel_tol=1e-4)
+
+
 def test_token_numbers():
     places = {b"ab": 0, b"cd": 1, b"xyz": 2}
     number, owner, place, words = lm.token_numbers([b"ab cd", b"", b" q xyz"], places, 2)

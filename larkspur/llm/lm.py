@@ -26,6 +26,10 @@ batches that share their noise, and the tasks' vectors are averaged, each by how
 often the task saw what it stands for. A training part that is drawn whole is
 trained on in one task.
 
+A logit of a class is a sum of what either token before gives to it, so its power is a
+product, and a token's sum over all classes is the product of two rows of a table of
+powers; only rare tokens before, beyond a bounded table, are compared with all classes.
+
 Counts of words are kept in a table; the ``top`` most frequent short words (a
 bounded table) are looked up in each task, and only the other words of a
 document are joined with the table of counts, so a hot word of at most
@@ -76,8 +80,10 @@ MIXED, STEP, SHARE, CLASS_NOISE, WORD_NOISE = 1 << 17, 1 << 13, 512, 32, 16
 #: Tasks that train, for each core at most, tokens of each at least, about; rows of a
 #: model that are averaged together.
 TRAINERS, TASK_TOKENS, MODEL_ROWS = 4, 500_000, 4_096
-#: Tokens that are compared with all classes at once.
-ROWS = 1_024
+#: Tokens that are compared with all classes at once; bytes of a table of powers.
+ROWS, POWER_BYTES = 1_024, 32 << 20
+#: Tokens of a class that are multiplied together in training.
+CHUNK = 16
 #: Bytes of text whose tokens are scored together, about.
 SCORE_BYTES = 1 << 18
 
@@ -176,43 +182,75 @@ class Model:
     members: list[np.ndarray]
     #: vectors, matrices and the sums of squared gradients, to train on from
     state: list[np.ndarray] | None = None
+    #: what ``powers`` gives, once asked for
+    _powers: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def guess(self, two: np.ndarray, one: np.ndarray) -> np.ndarray:
-        return self.near[one] + self.far[two]
-
-    def __post_init__(self) -> None:
-        # where no logit can come near the largest power of a float, none is shifted before it is raised
-        norm = lambda x: float(np.sqrt((x * x).sum(1).max())) if len(x) else 0.0
-        reach = norm(self.near) + norm(self.far)
-        self.safe = reach * max(norm(self.out), norm(self.words)) + max(np.abs(self.bias).max(), np.abs(self.word_bias).max()) < 60
+        return self.near.take(one, 0) + self.far.take(two, 0)
+
+    def powers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The powers of all classes' logits as products: exp of what the token before
+        gives to them, exp of what the one before that gives, and each number's row in
+        both; -1 for a rare one beyond ``POWER_BYTES`` and for powers that a float
+        might not hold. A token's sum over classes is then the product of two rows."""
+        if self._powers is None:
+            n, last = len(self.near), SHAPES + 1
+            fit = max(last, POWER_BYTES // (4 * len(self.out)))
+            # the most frequent words come first, the groups and the end last
+            kept = np.arange(n) if n <= fit else np.concatenate([np.arange(fit - last), np.arange(n - last, n)])
+            one, two = self.near[kept] @ self.out.T + self.bias, self.far[kept] @ self.out.T
+            fine = np.maximum(np.abs(one).max(1), np.abs(two).max(1)) < 40
+            row = np.full(n, -1, np.int32)
+            row[kept[fine]] = np.arange(fine.sum())
+            self._powers = np.exp(one[fine]), np.exp(two[fine]), row
+        return self._powers
 
     def _picked(self, q: np.ndarray, table: np.ndarray, shift: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Natural log of the share of row ``at`` of each in a softmax over a table."""
-        got = np.einsum("nd,nd->n", q, table[at]) + shift[at]
+        got = np.einsum("nd,nd->n", q, table.take(at, 0)) + shift[at]
         z = q @ table.T
         z += shift
-        if not self.safe:
-            top = z.max(1, keepdims=True)
-            z -= top
-            got -= top[:, 0]
-        np.exp(z, out=z)
-        return got - np.log(z.sum(1))
+        with np.errstate(over="ignore"):
+            np.exp(z, out=z)
+            total = z.sum(1)
+        # only where a float cannot hold the sum are logits shifted before they are raised
+        far = np.flatnonzero(~((total > 1e-30) & (total < 1e38)))
+        if len(far):
+            z = q[far] @ table.T + shift
+            top = z.max(1)
+            got[far] -= top
+            total[far] = np.exp(z - top[:, None]).sum(1)
+        return got - np.log(total)
 
     def log10(self, two: np.ndarray, one: np.ndarray, number: np.ndarray) -> np.ndarray:
         """log10 p of each token, of a group's place for a word outside the vocabulary."""
-        q = self.guess(two, one)
+        near, far, row = self.powers()
         k = self.share[number]
         got = np.empty(len(k))
+        v, u = row[one], row[two]
+        held = (v >= 0) & (u >= 0)
+        at, rest = np.flatnonzero(held), np.flatnonzero(~held)
+        at = at[_sorted(v[at], len(near))]
         # so many at once as a processor's cache holds
-        for s in range(0, len(k), ROWS):
-            got[s : s + ROWS] = self._picked(q[s : s + ROWS], self.out, self.bias, k[s : s + ROWS])
+        for s in range(0, len(at), ROWS):
+            part = at[s : s + ROWS]
+            x, y, here = near.take(v[part], 0), far.take(u[part], 0), (np.arange(len(part)), k[part])
+            got[part] = np.log(x[here] * y[here] / np.einsum("nk,nk->n", x, y))
+        for s in range(0, len(rest), ROWS):
+            part = rest[s : s + ROWS]
+            got[part] = self._picked(self.guess(two[part], one[part]), self.out, self.bias, k[part])
         many = np.flatnonzero((k >= self.first) & (k < self.first + len(self.members)))
-        order = many[np.argsort(k[many], kind="stable")]
+        order = many[_sorted(k[many], len(self.out))]
+        q, w = self.guess(two[order], one[order]), number[order]
         cuts = np.searchsorted(k[order], np.arange(self.first, self.first + len(self.members) + 1))
-        for i, own in enumerate(self.members):
+        more = np.empty(len(order))
+        for i in np.flatnonzero(np.diff(cuts)):
+            own = self.members[i]
+            words, bias = self.words.take(own, 0), self.word_bias[own]
             for s in range(cuts[i], cuts[i + 1], ROWS):
-                at = order[s : min(s + ROWS, cuts[i + 1])]
-                got[at] += self._picked(q[at], self.words[own], self.word_bias[own], np.searchsorted(own, number[at]))
+                e = min(s + ROWS, cuts[i + 1])
+                more[s:e] = self._picked(q[s:e], words, bias, np.searchsorted(own, w[s:e]))
+        got[order] += more
         return got / np.log(10)
 
 
@@ -247,13 +285,24 @@ def deal(two: np.ndarray, one: np.ndarray, number: np.ndarray, size: int, single
     return [np.sort(ids) + single for ids, _ in parts if len(ids)]
 
 
+def _sorted(at: np.ndarray, n: int) -> np.ndarray:
+    """The stable order of places below ``n``; two-byte places are sorted in linear time."""
+    return np.argsort(at.astype(np.uint16) if n <= 1 << 16 else at, kind="stable")
+
+
 def _spread(rows: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The sums of ``rows`` of the same place, and these places."""
-    # two-byte places are sorted in linear time
-    order = np.argsort(at.astype(np.uint16) if n <= 1 << 16 else at, kind="stable")
+    order = _sorted(at, n)
     sorted_at = at[order]
     starts = np.flatnonzero(np.concatenate([[True], sorted_at[1:] != sorted_at[:-1]]))
-    return np.add.reduceat(rows[order], starts, 0), sorted_at[starts]
+    count = np.diff(starts, append=len(at))
+    out = rows.take(order[starts], 0)
+    # a row that is alone needs no sum
+    several = count > 1
+    if several.any():
+        count, held = count[several], order[np.repeat(several, count)]
+        out[several] = np.add.reduceat(rows.take(held, 0), np.cumsum(count) - count, 0)
+    return out, sorted_at[starts]
 
 
 def train(two: np.ndarray, one: np.ndarray, number: np.ndarray, size: int, dim: int = 24, noise: int = 12, batch: int = 2048, passes: int = 2, rate: float = 0.12, seed: int = 3) -> Model:
@@ -339,90 +388,106 @@ class Trainer:
     def __init__(self, lm: Model, freq: np.ndarray, seed: int = 3) -> None:
         vectors, mixes, *squares = lm.state
         self.lm, self.rng = lm, np.random.default_rng(seed)
-        self.tables = [x.copy() for x in (vectors, mixes, lm.out, lm.bias, lm.words, lm.word_bias)]
-        self.squares = [x.copy() for x in squares]
+        # the two matrices one above the other, biases as last columns
+        self.tables = [vectors.copy(), mixes.reshape(-1, mixes.shape[2]).copy(), np.column_stack([lm.out, lm.bias]), np.column_stack([lm.words, lm.word_bias])]
+        self.squares = [squares[0].copy(), squares[1].reshape(self.tables[1].shape).copy(), np.column_stack(squares[2:4]), np.column_stack(squares[4:6])]
         freq = freq + 1.0
         self.per = np.bincount(lm.share, weights=freq, minlength=len(lm.out))
         self.until = np.cumsum(self.per) / self.per.sum()
         self.log_class = np.log(CLASS_NOISE * self.per / self.per.sum()).astype(np.float32)
         self.log_word = np.log(WORD_NOISE * freq / self.per[lm.share]).astype(np.float32)
-        self.inside = [np.cumsum(freq[own]) for own in lm.members]
+        # the words of a class of several stand side by side, by which noise is drawn within it
+        width = np.zeros(len(lm.out), np.int64)
+        width[lm.first : lm.first + len(lm.members)] = [len(own) for own in lm.members]
+        self.width, self.begin = width, np.cumsum(width) - width
+        self.flat = np.concatenate([np.zeros(0, np.int64), *lm.members])
+        self.until_word = np.concatenate([[0.0], np.cumsum(freq[self.flat])])
         #: how often each number was a token, and stood before one
         self.seen, self.before = np.zeros(len(vectors), np.int64), np.zeros(len(vectors), np.int64)
 
     def _move(self, k: int, at: np.ndarray | slice, g: np.ndarray) -> None:
-        self.squares[k][at] += g * g
-        self.tables[k][at] += self.RATE * g / np.sqrt(self.squares[k][at])
+        squares = self.squares[k][at]
+        squares += g * g
+        self.squares[k][at] = squares
+        self.tables[k][at] += self.RATE * g / np.sqrt(squares)
 
     def _right(self, q: np.ndarray, k: int, right: np.ndarray, log_noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What flows back into ``q`` from each token's own row, and its slope."""
-        own = self.tables[k][right]
-        up = np.einsum("nd,nd->n", q, own) + (self.tables[k + 1][right] - log_noise[right])
-        up = 1 / (1 + np.exp(np.clip(up, -30, 30)))
-        return up[:, None] * own, up
-
-    def _wrong(self, q: np.ndarray, k: int, wrong: np.ndarray, log_noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same from noise that all of ``q`` share: slopes of each pair."""
-        noise = self.tables[k][wrong]
-        down = q @ noise.T
-        down += self.tables[k + 1][wrong] - log_noise[wrong]
-        np.clip(down, -30, 30, out=down)
-        np.negative(down, out=down)
-        np.exp(down, out=down)
+        """What flows back into ``q`` from each token's own row, and into that row."""
+        own = self.tables[k].take(right, 0)
+        up = np.einsum("nd,nd->n", q, own) - log_noise[right]
+        up = (1 / (1 + np.exp(np.clip(up, -30, 30))))[:, None]
+        return up * own[:, :-1], up * q
+
+    def _wrong(self, q: np.ndarray, k: int, wrong: np.ndarray, log_noise: np.ndarray, groups: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """The same from noise that all of a group of ``q`` share."""
+        noise = self.tables[k].take(wrong, 0)
+        noise[..., -1] -= log_noise[wrong]
+        noise = noise[groups]
+        down = q @ -noise.transpose(0, 2, 1)
+        # beyond the largest float the slope is nothing
+        with np.errstate(over="ignore"):
+            np.exp(down, out=down)
         down += 1
         np.divide(-1, down, out=down)
-        return down @ noise, down
+        return down @ noise[..., :-1], down.transpose(0, 2, 1) @ q
 
     def step(self, two: np.ndarray, one: np.ndarray, number: np.ndarray) -> None:
         vectors, mixes = self.tables[:2]
-        lm = self.lm
+        lm, n, dim = self.lm, len(number), len(mixes) // 2
         k = lm.share[number]
-        order = np.argsort(k.astype(np.uint16) if len(self.per) <= 1 << 16 else k, kind="stable")
-        u, v, w, k = two[order], one[order], number[order], k[order]
-        a, b = vectors[v], vectors[u]
-        q = a @ mixes[0]
-        q += b @ mixes[1]
-        back, up = self._right(q, 2, k, self.log_class)
+        order = _sorted(k, len(self.per))
+        pairs, w, k = np.stack([one, two], 1)[order].ravel(), number[order], k[order]
+        before = vectors.take(pairs, 0).reshape(n, 2 * dim)
+        # room for as many tokens in each block; the last column meets the biases
+        blocks = -(-n // SHARE)
+        q = np.zeros((-(-n // blocks) * blocks, dim + 1), np.float32)
+        q[:n, :-1] = before @ mixes
+        q[:n, -1] = 1
+        back = np.zeros((len(q), dim), np.float32)
+        back[:n], moved = self._right(q[:n], 2, k, self.log_class)
         # the tokens stand by their classes
         starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        out, bias = np.zeros_like(self.tables[2]), np.zeros_like(self.tables[3])
-        out[k[starts]] = np.add.reduceat(up[:, None] * q, starts, 0)
-        bias[k[starts]] = np.add.reduceat(up, starts)
-        blocks = -(-len(k) // SHARE)
-        for i, wrong in enumerate(np.minimum(np.searchsorted(self.until, self.rng.random((blocks, CLASS_NOISE))), len(self.per) - 1)):
-            here = q[i::blocks]
-            more, down = self._wrong(here, 2, wrong, self.log_class)
-            back[i::blocks] += more
-            np.add.at(out, wrong, down.T @ here)
-            np.add.at(bias, wrong, down.sum(0))
+        out = np.zeros_like(self.tables[2])
+        out[k[starts]] = np.add.reduceat(moved, starts, 0)
+        wrong = np.minimum(np.searchsorted(self.until, self.rng.random((blocks, CLASS_NOISE))), len(self.per) - 1)
+        more, moved = self._wrong(q.reshape(-1, blocks, dim + 1).transpose(1, 0, 2), 2, wrong, self.log_class)
+        back.reshape(-1, blocks, dim).transpose(1, 0, 2)[:] += more
+        g, at = _spread(moved.reshape(-1, dim + 1), wrong.ravel(), len(out))
+        out[at] += g
         self._move(2, slice(None), out)
-        self._move(3, slice(None), bias)
-        cuts = np.append(starts, len(k))
-        places, moved, slopes = [], [], []
-        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            i = int(k[s]) - lm.first
-            if not 0 <= i < len(lm.members) or len(lm.members[i]) < 2:
-                continue
-            own, inside = lm.members[i], self.inside[i]
-            wrong = own[np.minimum(np.searchsorted(inside, self.rng.random(WORD_NOISE) * inside[-1], "right"), len(own) - 1)]
-            here = q[s:e]
-            own_back, up = self._right(here, 4, w[s:e], self.log_word)
-            more, down = self._wrong(here, 4, wrong, self.log_word)
-            back[s:e] += own_back
-            back[s:e] += more
-            places += [w[s:e], wrong]
-            moved += [up[:, None] * here, down.T @ here]
-            slopes += [up, down.sum(0)]
-        if places:
-            g, at = _spread(np.concatenate([np.concatenate(moved), np.concatenate(slopes)[:, None]], 1), np.concatenate(places), len(vectors))
-            self._move(4, at, g[:, :-1])
-            self._move(5, at, g[:, -1])
-        turned = np.stack([a.T @ back, b.T @ back]) / np.float32(len(w))
-        g, at = _spread(np.concatenate([back @ mixes[0].T, back @ mixes[1].T]), np.concatenate([v, u]), len(vectors))
+        many = np.flatnonzero(self.width[k] > 1)
+        if len(many):
+            self._within(q, back, k[many], w[many], many)
+        back = back[:n]
+        g, at = _spread((back @ mixes.T).reshape(-1, dim), pairs, len(vectors))
         self._move(0, at, g)
-        self._move(1, slice(None), turned)
+        self._move(1, slice(None), before.T @ back / np.float32(n))
         self.seen += np.bincount(number, minlength=len(vectors))
-        self.before += np.bincount(np.concatenate([one, two]), minlength=len(vectors))
+        self.before += np.bincount(pairs, minlength=len(vectors))
+
+    def _within(self, q: np.ndarray, back: np.ndarray, k: np.ndarray, w: np.ndarray, many: np.ndarray) -> None:
+        """The factor of the words in classes of several, for the tokens ``many``, which
+        stand by their classes ``k``: those of a class share its noise."""
+        here = q.take(many, 0)
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        count = np.diff(starts, append=len(k))
+        b, c = self.begin[k[starts]], self.width[k[starts]]
+        low, high = self.until_word[b], self.until_word[b + c]
+        wrong = np.searchsorted(self.until_word[1:], low[:, None] + self.rng.random((len(b), WORD_NOISE)) * (high - low)[:, None], "right")
+        wrong = self.flat[np.clip(wrong, b[:, None], (b + c - 1)[:, None])]
+        # a class fills whole chunks, with rows of zeros at the end
+        chunks = -(-count // CHUNK)
+        first = np.cumsum(chunks) - chunks
+        place = np.repeat(first * CHUNK - starts, count) + np.arange(len(k))
+        padded = np.zeros((chunks.sum() * CHUNK, q.shape[1]), np.float32)
+        padded[place] = here
+        more, down = self._wrong(padded.reshape(-1, CHUNK, q.shape[1]), 3, wrong, self.log_word, np.repeat(np.arange(len(b)), chunks))
+        own, up = self._right(here, 3, w, self.log_word)
+        own += more.reshape(-1, more.shape[2]).take(place, 0)
+        back[many] += own
+        down = np.add.reduceat(down, first, 0).reshape(-1, q.shape[1])
+        g, at = _spread(np.concatenate([up, down]), np.concatenate([w, wrong.ravel()]), len(self.tables[3]))
+        self._move(3, at, g)
 
     def train(self, two: np.ndarray, one: np.ndarray, number: np.ndarray) -> None:
         """All the trigrams, once each, in a drawn order."""
@@ -433,13 +498,13 @@ class Trainer:
 
     def parts(self) -> Iterator[tuple[int, int, bytes, bytes]]:
         """(table, block, rows, weights) of what was trained, biases beside their rows."""
-        vectors, mixes, out, bias, words, word_bias = self.tables
+        vectors, mixes, out, words = self.tables
         classes = np.bincount(self.lm.share, weights=self.seen, minlength=len(out))
         tables = [
             (vectors, self.before),
             (mixes.reshape(2, -1), np.full(2, self.seen.sum())),
-            (np.column_stack([out, bias]), classes),
-            (np.column_stack([words, word_bias]), self.seen),
+            (out, classes),
+            (words, self.seen),
         ]
         for k, (x, weight) in enumerate(tables):
             # what was only noise here counts little

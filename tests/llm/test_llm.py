@@ -335,6 +335,77 @@ def test_training_on_sees_each_trigram_once():
     assert math.isclose((10.0**logs).sum(), 1, rel_tol=1e-4)
 
 
+def test_scoring_takes_no_softmax_over_all_classes_a_token(monkeypatch):
+    rng = np.random.default_rng(11)
+    size = 900
+    n = size + lm.SHAPES + 1
+    two, one, number = rng.integers(0, n, (3, 20_000)).astype(np.int32)
+    model = lm.train(two, one, number, size, passes=1)
+    done = []
+    picked = lm.Model._picked
+    monkeypatch.setattr(lm.Model, "_picked", lambda self, q, table, *rest: (done.append(len(q) * (table is self.out)), picked(self, q, table, *rest))[1])
+    fast = model.log10(two, one, number)
+    assert sum(done) == 0
+    # the rare numbers of a large vocabulary, and those whose powers a float might not hold, go the other way
+    monkeypatch.setattr(lm, "POWER_BYTES", 4 * 400 * len(model.out))
+    model._powers = None
+    assert np.allclose(model.log10(two, one, number), fast, atol=1e-5) and 0 < sum(done) < len(number)
+    assert (model.powers()[2][[0, 335, size, n - 1]] >= 0).all() and (model.powers()[2][336:size] == -1).all()
+    model.near[5] *= 1_000 / np.abs(model.near[5]).max()
+    model._powers = None
+    assert model.powers()[2][5] == -1
+    wide = model.log10(np.full(n, 7), np.full(n, 5), np.arange(n))
+    assert np.isfinite(wide).all() and math.isclose((10.0**wide).sum(), 1, rel_tol=1e-4)
+
+
+def test_a_step_of_training_is_batched_and_equals_single_tokens(monkeypatch):
+    rng = np.random.default_rng(12)
+    size, dim = 900, 24
+    n = size + lm.SHAPES + 1
+    two, one, number = (rng.zipf(1.3, (3, 1_300)) % n).astype(np.int32)
+    start = lm.train(two, one, number, size, passes=1)
+    freq = np.bincount(number, minlength=n)
+    calls = []
+    wrong = lm.Trainer._wrong
+    monkeypatch.setattr(lm.Trainer, "_wrong", lambda self, *args: (calls.append(0), wrong(self, *args))[1])
+    trainer = lm.Trainer(start, freq)
+    trainer.step(two, one, number)
+    assert len(calls) == 2
+    # the same draws, one token and one noise word after another
+    draws = np.random.default_rng(3)
+    vectors, mixes, *squares = (x.astype(float) for x in start.state)
+    share, first, members = start.share, start.first, start.members
+    weight = freq + 1.0
+    per = np.bincount(share, weights=weight)
+    order = np.argsort(share[number], kind="stable")
+    blocks = -(-len(order) // lm.SHARE)
+    class_noise = np.minimum(np.searchsorted(np.cumsum(per) / per.sum(), draws.random((blocks, lm.CLASS_NOISE))), len(per) - 1)
+    word_noise = {}
+    for i in sorted({int(x) - first for x in share[number] if 0 <= x - first < len(members)}):
+        inside = np.cumsum(weight[members[i]])
+        word_noise[i] = members[i][np.minimum(np.searchsorted(inside, draws.random(lm.WORD_NOISE) * inside[-1], "right"), len(inside) - 1)]
+    out, words = (np.column_stack(x).astype(float) for x in ((start.out, start.bias), (start.words, start.word_bias)))
+    log_class, log_word = np.log(lm.CLASS_NOISE * per / per.sum()), np.log(lm.WORD_NOISE * weight / per[share])
+    grads = [np.zeros_like(x) for x in (vectors, mixes, out, words)]
+    for place, t in enumerate(order):
+        a, b, k = vectors[one[t]], vectors[two[t]], share[number[t]]
+        q = np.append(a @ mixes[0] + b @ mixes[1], 1)
+        pairs = [(2, k, 1, out, log_class)] + [(2, w, 0, out, log_class) for w in class_noise[place % blocks]]
+        if k - first in word_noise:
+            pairs += [(3, number[t], 1, words, log_word)] + [(3, w, 0, words, log_word) for w in word_noise[k - first]]
+        back = np.zeros(dim)
+        for x, row, right, table, log_noise in pairs:
+            slope = right - 1 / (1 + np.exp(log_noise[row] - q @ table[row]))
+            back += slope * table[row, :-1]
+            grads[x][row] += slope * q
+        for m, (row, v) in enumerate(((one[t], a), (two[t], b))):
+            grads[0][row] += mixes[m] @ back
+            grads[1][m] += np.outer(v, back) / len(order)
+    squares = [squares[0], squares[1], np.column_stack(squares[2:4]), np.column_stack(squares[4:6])]
+    for x, before, g, square in zip(trainer.tables, (vectors, mixes, out, words), grads, squares):
+        assert np.allclose(x, (before + trainer.RATE * g / np.sqrt(square + g * g)).reshape(x.shape), atol=2e-4)
+
+
 def test_token_numbers():
     places = {b"ab": 0, b"cd": 1, b"xyz": 2}
     number, owner, place, words = lm.token_numbers([b"ab cd", b"", b" q xyz"], places, 2)
